@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
 
 # --- Fixed values -------------------------------------------------------------------------------------------------
 
@@ -113,32 +112,32 @@ QUALITY_MOVES = {
     "failed": ["analyzing", *QUALITY_PHASES],
 }
 
-# --- Schemas ------------------------------------------------------------------------------------------------------
+# --- Schemas (DDL) ------------------------------------------------------------------------------------------------------
 
-FILES = T.StructType.fromDDL("path STRING, modificationTime TIMESTAMP, length LONG, content BINARY")
+FILES = ("path STRING, modificationTime TIMESTAMP, length LONG, content BINARY")
 CONTEXT = "STRUCT<page: INT, section: STRING>"
-CHUNKS = T.StructType.fromDDL(
+CHUNKS = (
     f"document_id STRING, chunk_id STRING, text STRING, structural_context {CONTEXT}, order INT"
 )
-DOCUMENTS = T.StructType.fromDDL(
+DOCUMENTS = (
     "document_id STRING, original_filename STRING, format STRING, size_bytes LONG, language STRING, "
     "upload_timestamp TIMESTAMP, warnings ARRAY<STRING>, status STRING, error_message STRING, expires_at TIMESTAMP"
 )
-PAGES = T.StructType.fromDDL("document_id STRING, page INT, text STRING")
+PAGES = ("document_id STRING, page INT, text STRING")
 SOURCE_REF = "STRUCT<chunk_id: STRING, page: INT, section: STRING, evidence: STRING>"
-ELEMENTS = T.StructType.fromDDL(
+ELEMENTS = (
     f"document_id STRING, pos LONG, id STRING, type STRING, name STRING, content STRING, source_ref {SOURCE_REF}, "
     "verified BOOLEAN"
 )
-RELATIONS = T.StructType.fromDDL(
+RELATIONS = (
     "document_id STRING, element_pos LONG, pos INT, source_id STRING, target_id STRING, type STRING, description STRING"
 )
-RESPONSES = T.StructType.fromDDL(
+RESPONSES = (
     "document_id STRING, step STRING, segment INT, question_id STRING, attempt INT, prompt_version STRING, "
     "content STRING, model_id STRING, error STRING"
 )
-SESSION_EVENTS = T.StructType.fromDDL("document_id STRING, track STRING, seq LONG, ts TIMESTAMP, status STRING, payload STRING")
-TYPE_SCHEMA = T.StructType.fromDDL("document_type STRING, pos INT, name STRING, description STRING, importance STRING")
+SESSION_EVENTS = ("document_id STRING, track STRING, seq LONG, ts TIMESTAMP, status STRING, payload STRING")
+TYPE_SCHEMA = ("document_type STRING, pos INT, name STRING, description STRING, importance STRING")
 
 
 def type_schema(spark: SparkSession, expected: dict[str, list[tuple[str, str, str]]] | None = None) -> DataFrame:
