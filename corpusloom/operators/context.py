@@ -26,14 +26,38 @@ class Context(NamedTuple):
     summary: DataFrame
 
 
-def attach_scores(questions: DataFrame, elements: DataFrame, scores: DataFrame) -> DataFrame:
-    """Elements of each question's document with their score; missing is 0, a repeated id counts with its last entry.
+def _last_scores(scores: DataFrame) -> DataFrame:
+    return scores.groupBy(*Q, "id").agg(F.max_by("score", "pos").alias("score"))
 
-    `scores(question_id, document_id, pos, id, score)`; a null score row set (see `parse_scores`) gives every element 1.
+
+def attach_scores(
+    questions: DataFrame, elements: DataFrame, scores: DataFrame, unscored: DataFrame | None = None
+) -> DataFrame:
+    """All elements of each question's document with their score: missing is 0, of a repeated id the last entry counts.
+
+    `scores(question_id, document_id, pos, id, score)`; questions in `unscored` (their scoring call or reply failed) give
+    every element 1.
     """
-    last = scores.groupBy(*Q, "id").agg(F.max_by("score", "pos").alias("score"))
     pairs = questions.select(*Q).join(elements, "document_id")
-    return pairs.join(last, [*Q, "id"], "left").withColumn("score", F.coalesce("score", F.lit(0)))
+    scored = pairs.join(_last_scores(scores), [*Q, "id"], "left").withColumn("score", F.coalesce("score", F.lit(0)))
+    if unscored is None:
+        return scored
+    flat = unscored.select(*Q).distinct().withColumn("_flat", F.lit(1))
+    return scored.join(flat, Q, "left").withColumn("score", F.coalesce("_flat", "score")).drop("_flat")
+
+
+def relevant_elements(
+    questions: DataFrame, elements: DataFrame, scores: DataFrame, unscored: DataFrame | None = None
+) -> DataFrame:
+    """The rows of `attach_scores` with a positive score, found from the score side: no question meets its whole document."""
+    positive = _last_scores(scores).where(F.col("score") > 0).join(questions.select(*Q), Q, "left_semi")
+    if unscored is not None:
+        positive = positive.join(unscored, Q, "left_anti")
+    rows = positive.join(elements, ["document_id", "id"])
+    if unscored is None:
+        return rows
+    flat = questions.select(*Q).join(unscored.select(*Q).distinct(), Q, "left_semi").join(elements, "document_id")
+    return rows.unionByName(flat.withColumn("score", F.lit(1)))
 
 
 def rank_relevant(scored: DataFrame, limit: int = MAX_DIRECT_ELEMENTS) -> DataFrame:
@@ -116,12 +140,13 @@ def build_context(
     elements: DataFrame,
     relations: DataFrame,
     scores: DataFrame,
+    unscored: DataFrame | None = None,
     window_tokens: int = CONTEXT_WINDOW_TOKENS,
     limit: int = MAX_DIRECT_ELEMENTS,
 ) -> Context:
     """Context elements, relations and totals per question. Questions without a relevant element have no summary row."""
     budget = int(window_tokens * CONTEXT_RATIO)
-    ranked = with_tokens(rank_relevant(attach_scores(questions, elements, scores), limit))
+    ranked = with_tokens(rank_relevant(relevant_elements(questions, elements, scores, unscored), limit))
     direct = budget_direct(ranked, budget)
     related = with_tokens(one_hop(ranked, relations, elements))
     hop = budget_relational(related, direct, budget)
