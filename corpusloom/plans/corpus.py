@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.model import DOCUMENT_TYPES, ELEMENT_TYPES
 from corpusloom.operators.segment import chunk_markdown
+from corpusloom.session import materialize
 
 AS_OF = "2024-06-01 00:00:00"
 
@@ -86,7 +87,7 @@ def element_id(ord_: Column) -> Column:
 
 def flagged_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Elements whose `verified` follows position instead of a check: false at every third."""
-    return elements(spark, sf_dir).withColumn("verified", (F.col("document_id").cast("long") + F.col("pos")) % 3 != 0)
+    return stored(spark, sf_dir, "elements").withColumn("verified", (F.col("document_id").cast("long") + F.col("pos")) % 3 != 0)
 
 
 def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,7 +111,7 @@ def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(ord_ % 6 == 1, F.array(back)).otherwise(F.array().cast(_EDGES)),
     )
     return (
-        elements(spark, sf_dir)
+        stored(spark, sf_dir, "elements")
         .select("document_id", "pos", "id", F.explode(edges).alias("edge"))
         .select(
             "document_id",
@@ -149,9 +150,9 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A score per (question, element of its document), with zeros and ties."""
     q = questions(spark, sf_dir)
-    e = elements(spark, sf_dir).select("document_id", "id", "pos")
+    e = stored(spark, sf_dir, "elements").select("document_id", "id", "pos")
     value = (F.col("document_id").cast("long") * 7 + F.col("pos") * 3 + F.col("conv_id") + F.col("turn")) % 11
-    return q.join(e, "document_id").select("question_id", "document_id", "id", value.cast("int").alias("score"))
+    return q.join(e, "document_id").select("question_id", "document_id", "pos", "id", value.cast("int").alias("score"))
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,3 +203,15 @@ def session_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(quality, later).otherwise(status).alias("status"),
         F.col("props").alias("payload"),
     )
+
+
+_stored: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A derived table, written once per session to the shared folder and laid out by document."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _stored:
+        built = globals()[name](spark, sf_dir)
+        _stored[key] = materialize(built.repartition("document_id"), f"corpus-{name}")
+    return _stored[key]

@@ -26,6 +26,7 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
         SparkSession.builder.master(f"local[{cores}]")
         .appName("corpusloom")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(partitions))
     )

@@ -18,7 +18,9 @@ def bucket(document_id: Column | str) -> Column:
 
 
 def write_table(df: DataFrame, path: str, mode: str = "append") -> None:
-    df.withColumn("bucket", bucket("document_id")).write.mode(mode).partitionBy("bucket").parquet(path)
+    # Rebalancing gathers a bucket's rows into few files, and adaptive execution splits a bucket that is too large.
+    rows = df.withColumn("bucket", bucket("document_id")).hint("rebalance", "bucket")
+    rows.write.mode(mode).partitionBy("bucket").parquet(path)
 
 
 def read_table(spark: SparkSession, path: str, document_id: str | None = None) -> DataFrame:
