@@ -205,6 +205,121 @@ def session_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _reply(rows: DataFrame, step: str, body: Column, broken: Column, fenced: Column | None = None, question: str | None = None) -> DataFrame:
+    text = body if fenced is None else F.when(fenced, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(body)
+    return rows.select(
+        "document_id",
+        F.lit(step).alias("step"),
+        F.lit(0).alias("segment"),
+        (F.lit(None) if question is None else F.col(question)).cast("string").alias("question_id"),
+        F.lit(1).alias("attempt"),
+        F.lit("v1").alias("prompt_version"),
+        F.when(broken, F.concat(text, F.lit(" and more"))).otherwise(text).alias("content"),
+        F.lit("model-a").alias("model_id"),
+        F.lit(None).cast("string").alias("error"),
+    )
+
+
+def _gathered(rows: DataFrame, keys: list[str], item: Column) -> DataFrame:
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("pos", item.alias("item")))), lambda r: r["item"])
+    return rows.groupBy(*keys).agg(listed.alias("items"))
+
+
+def _ref(e: Column | None = None) -> Column:
+    return F.struct("source_ref.chunk_id", "source_ref.evidence")
+
+
+def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies of every step, built from the derived elements; some fenced, some broken, some with bad items."""
+    els = stored(spark, sf_dir, "flagged_elements")
+    pos, doc = F.col("pos"), F.col("document_id").cast("long")
+    never = F.lit(False)
+
+    edges = stored(spark, sf_dir, "relations").groupBy("document_id", F.col("element_pos").alias("pos")).agg(
+        F.transform(
+            F.array_sort(F.collect_list(F.struct(F.col("pos").alias("n"), "target_id", "type", "description"))),
+            lambda r: F.struct(r["target_id"], r["type"], r["description"]),
+        ).alias("relations")
+    )
+    full = F.struct(
+        "id",
+        F.when(pos % 10 == 9, "mystery").otherwise(F.col("type")).alias("type"),
+        "name",
+        "content",
+        _ref().alias("source_ref"),
+        "relations",
+    )
+    extraction = _gathered(els.join(edges, ["document_id", "pos"], "left"), ["document_id"], full)
+
+    severity = F.when(pos % 3 == 0, "high").when(pos % 3 == 1, "medium")
+    clash = F.struct(
+        F.lit("contradiction").alias("type"),
+        F.when(doc % 13 == 3, F.repeat(F.lit("x"), 501)).otherwise(F.concat(F.lit("model: "), "name")).alias("description"),
+        severity.otherwise("odd").alias("severity"),
+        F.array("id").alias("affected_element_ids"),
+        F.array(_ref(), _ref()).alias("source_refs"),
+    )
+    vague = F.struct(
+        F.concat(F.lit("amb-"), pos.cast("string")).alias("id"),
+        F.lit("vague").alias("category"),
+        F.concat(F.lit("unclear: "), "name").alias("description"),
+        F.when(doc % 13 == 6, "odd").otherwise(severity.otherwise("low")).alias("severity"),
+        F.array("id").alias("affected_element_ids"),
+        _ref().alias("source_ref"),
+    )
+    partly = F.struct(
+        F.col("name").alias("expected_element_name"),
+        F.when(pos % 2 == 0, "Partial").otherwise("complete").alias("classification"),
+        severity.otherwise("odd").alias("severity"),
+    )
+    advice = F.struct(
+        F.concat(F.lit("sug-"), pos.cast("string")).alias("id"),
+        F.concat(F.lit("look at "), "name").alias("description"),
+        F.when(pos % 3 == 0, "high").when(pos % 3 == 1, "low").alias("priority"),
+        F.array(F.concat(F.lit("amb-"), pos.cast("string"))).alias("related_finding_ids"),
+        F.when(pos % 4 == 0, F.array(_ref())).alias("source_refs"),
+    )
+    found = _gathered(els.where(pos % 5 == 0), ["document_id"], clash)
+    unclear = _gathered(els.where(pos % 4 == 0), ["document_id"], vague)
+    judged = _gathered(els.where(pos < 3), ["document_id"], partly)
+    advised = _gathered(els.where(pos % 2 == 0), ["document_id"], advice)
+    wrap = lambda name: F.to_json(F.struct(F.col("items").alias(name)))
+
+    kinds = document_types(spark, sf_dir)
+    kind = F.to_json(
+        F.struct(
+            F.when(doc % 10 == 7, "memo").otherwise(F.col("document_type")).alias("document_type"),
+            F.when(doc % 3 != 0, "by its words").alias("justification"),
+        )
+    )
+    q = stored(spark, sf_dir, "questions").select("question_id", "document_id", "conv_id", "turn")
+    marks = stored(spark, sf_dir, "scores").withColumn("score", F.col("score") * 2 - 4)
+    marks = _gathered(marks, ["question_id", "document_id"], F.struct("id", "score")).join(q, ["question_id", "document_id"])
+    quoted = _gathered(q.join(els, "document_id"), ["question_id", "document_id", "conv_id", "turn"], _ref())
+    said = F.to_json(
+        F.struct(
+            F.concat(F.lit("From "), F.size("items").cast("string"), F.lit(" parts.")).alias("answer"),
+            F.lit(True).alias("answerable"),
+            F.col("items").alias("source_refs"),
+        )
+    )
+    spoken = F.when(F.col("turn") % 4 == 0, F.concat(F.lit("Here: "), said, F.lit(" Done."))).otherwise(said)
+    parts = [
+        _reply(kinds, "type", kind, doc % 17 == 5),
+        _reply(extraction, "extraction", wrap("elements"), doc % 17 == 5, doc % 9 == 4),
+        _reply(found, "contradiction", wrap("findings"), doc % 17 == 5),
+        _reply(unclear, "ambiguity", wrap("ambiguities"), doc % 17 == 5, doc % 9 == 4),
+        _reply(judged, "completeness", wrap("assessments"), doc % 17 == 5),
+        _reply(advised, "suggestion", wrap("suggestions"), doc % 17 == 5, doc % 9 == 4),
+        _reply(marks, "scoring", F.to_json("items"), F.col("conv_id") % 17 == 5, F.col("conv_id") % 9 == 4, "question_id"),
+        _reply(quoted, "answer", spoken, never, F.col("conv_id") % 9 == 4, "question_id"),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 _stored: dict[tuple[str, str, str], DataFrame] = {}
 
 
