@@ -124,10 +124,12 @@ def ingest(
     pages: DataFrame | None = None,
     retention: int = DEFAULT_RETENTION_SECONDS,
     registry: dict[str, Reader] | None = None,
+    settle: Callable[[DataFrame], DataFrame] | None = None,
 ) -> Ingested:
     """Validate, cut and describe `files(document_id, filename, length, content)`.
 
     Text of paged files is given in `pages(document_id, page, text)`; those with almost no text are marked failed.
+    `settle` may store the chunks, so that languages are read from the stored table and files are not cut twice.
     """
     checked = validate_files(files)
     records = document_records(checked.accepted, now, retention)
@@ -142,6 +144,8 @@ def ingest(
         failures = scanned.select("document_id", F.lit(SCANNED_MESSAGE).alias("error_message"))
         pages = pages.join(scanned, "document_id", "left_anti")
     chunks = chunk_by_format(docs.where(F.col("format") != "pdf"), pages, registry)
+    if settle is not None:
+        chunks = settle(chunks)
     return Ingested(settle_documents(records, chunks, failures), chunks, checked.rejected)
 
 

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-GROUPS = ["ingest", "graph", "evidence", "sessions", "quality", "context", "replies"]
+GROUPS = ["ingest", "graph", "evidence", "sessions", "quality", "context", "replies", "profile", "streams"]
 
 
 def load() -> None:

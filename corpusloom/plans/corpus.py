@@ -182,6 +182,10 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def session_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Click events read as session events: the user is the document, the event kind the status."""
+    return as_session_events(table(spark, sf_dir, "events"))
+
+
+def as_session_events(events: DataFrame) -> DataFrame:
     kinds = {
         "signup": ("analysis", "inferring_type"),
         "view": ("analysis", "awaiting_confirmation"),
@@ -195,7 +199,7 @@ def session_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         status = F.when(F.col("event_type") == kind, s).otherwise(status)
     quality = F.col("event_type") == "error"
     later = _pick(["analyzing", "analyzing_contradictions", "completed", "failed"], F.col("event_id") % 4)
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("user_id").cast("string").alias("document_id"),
         track.alias("track"),
         F.col("event_id").alias("seq"),

@@ -34,22 +34,20 @@ def ingest_stream(
     time stands for the upload time.
     """
 
+    def store(df: DataFrame, name: str, batch: int) -> DataFrame:
+        target = f"{out}/{name}/batch={batch}"
+        rows = df.withColumn("bucket", bucket("document_id")).hint("rebalance", "bucket")
+        rows.write.mode("overwrite").parquet(target)
+        return df.sparkSession.read.schema(df.schema).parquet(target)
+
     def write(files: DataFrame, batch: int) -> None:
-        done = ingest(files, F.lit(None).cast("timestamp"), retention=retention)
-        times = files.select("document_id", F.col("modificationTime").alias("_at"))
-        records = (
-            done.documents.join(times, "document_id")
-            .withColumns(
-                {
-                    "upload_timestamp": F.col("_at"),
-                    "expires_at": F.col("_at") + F.make_interval(secs=F.lit(retention)),
-                }
-            )
-            .drop("_at")
-        )
-        for name, df in (("chunks", done.chunks), ("documents", records), ("rejected", done.rejected)):
-            rows = df.withColumn("bucket", bucket("document_id")).hint("rebalance", "bucket")
-            rows.write.mode("overwrite").parquet(f"{out}/{name}/batch={batch}")
+        now = F.lit(None).cast("timestamp")
+        done = ingest(files, now, retention=retention, settle=lambda chunks: store(chunks, "chunks", batch))
+        times = files.select("document_id", F.col("modificationTime").alias("upload_timestamp"))
+        records = done.documents.drop("upload_timestamp", "expires_at").join(times, "document_id")
+        expiry = F.col("upload_timestamp") + F.make_interval(secs=F.lit(retention))
+        store(done.rejected, "rejected", batch)
+        store(records.withColumn("expires_at", expiry), "documents", batch)
 
     writer = file_stream(spark, path, per_trigger).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
