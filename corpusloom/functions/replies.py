@@ -46,8 +46,8 @@ def strict_json(c: Column | str) -> Column:
     text = _col(c)
     listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
     field = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
-    single = (F.size(F.try_variant_get(listed, "$", "array<variant>")) == 1) & field.isNotNull()
-    return F.when(single, F.try_variant_get(listed, "$[0]", "variant"))
+    items = F.transform(F.array(F.try_variant_get(listed, "$", "array<variant>")), lambda i: F.when(F.size(i) == 1, i[0]))
+    return F.when(field.isNotNull(), F.get(items, F.lit(0)))
 
 
 def first_json_object(c: Column | str) -> Column:

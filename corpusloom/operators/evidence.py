@@ -20,7 +20,7 @@ from corpusloom.model import SIMILARITY_THRESHOLD
 
 BATCH = 64
 CHUNK_BLOCK = 256
-SLICE_CHARS = 32_768
+COUNT_CELLS = 4_000_000
 
 KEY = ["document_id", "chunk_id", "evidence"]
 
@@ -97,80 +97,94 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
-def _window_overlap(wanted: np.ndarray, have: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
-    """Multiset intersection size of `wanted` with each window `have[start : start + width]`."""
-    symbols, counts = np.unique(wanted, return_counts=True)
-    at = np.searchsorted(symbols, have)
-    at[at == len(symbols)] = 0
-    known = symbols[at] == have
-    running = np.zeros((len(have) + 1, len(symbols)), dtype=np.int32)
-    running[np.flatnonzero(known) + 1, at[known]] = 1
-    np.cumsum(running, axis=0, out=running)
-    inside = running[np.minimum(starts + width, len(have))] - running[starts]
-    return np.minimum(inside, counts).sum(axis=1)
+class _Quote:
+    """One evidence text prepared for comparison with many windows."""
 
+    def __init__(self, text: str, threshold: float) -> None:
+        self.text, self.size, self.threshold = text, len(text), threshold
+        self.step = max(1, self.size // 4)
+        self.symbols, self.counts = np.unique(_codes(text), return_counts=True)
+        self.matcher = SequenceMatcher(None, text, "")
+        self.places: dict[str, int] = {}
+        for i, c in enumerate(text):
+            self.places[c] = self.places.get(c, 0) | (1 << i)
 
-def _promising(evidence: np.ndarray, text: np.ndarray, starts: np.ndarray, width: int, threshold: float) -> np.ndarray:
-    """Window starts that can still reach the threshold.
+    def shapes(self, length: int) -> list[tuple[int, int]]:
+        """(window width, end of the start positions) for a text longer than the evidence."""
+        wider = self.size + self.step
+        return [(self.size, length - self.size + 1), (min(wider, length), max(1, length - wider))]
 
-    Matching blocks hold M characters in all, a common sub-multiset, so M <= shared characters. With b blocks they also
-    share M - b neighbour pairs, and b - 1 <= (len a + len b - 2M) because an unmatched character lies between blocks;
-    hence 3M <= shared pairs + len a + len b + 1. Both bounds hold whatever blocks the matcher picks.
-    """
-    total = len(evidence) + width
-    kept = []
-    step = max(1, SLICE_CHARS // 4)
-    for lo in range(0, len(starts), step):
-        part = starts[lo : lo + step]
-        base, end = part[0], part[-1] + width
-        piece, local = text[base:end], part - base
-        chars = _window_overlap(evidence, piece, local, width)
-        part, local = part[2.0 * chars / total >= threshold], local[2.0 * chars / total >= threshold]
-        if len(part) and len(evidence) > 1:
-            pairs = _window_overlap(_pairs(evidence), _pairs(piece), local, width - 1)
-            bound = (pairs + total + 1) // 3
-            part = part[2.0 * bound / total >= threshold]
-        kept.append(part)
-    return np.concatenate(kept) if kept else starts[:0]
-
-
-def _pairs(codes: np.ndarray) -> np.ndarray:
-    wide = codes.astype(np.uint64)
-    return (wide[:-1] << np.uint64(32)) | wide[1:]
+    def reaches(self, common: int | np.ndarray, width: int) -> bool | np.ndarray:
+        return 2.0 * common / (self.size + width) >= self.threshold
 
+    def common_subsequence(self, window: str) -> int:
+        """Length of the longest common subsequence, one bit per evidence character."""
+        full = (1 << self.size) - 1
+        free = full
+        for c in window:
+            hit = free & self.places.get(c, 0)
+            if hit:
+                free = ((free + hit) | (free - hit)) & full
+        return self.size - free.bit_count()
 
-def similar(evidence: str, text: str, threshold: float = SIMILARITY_THRESHOLD) -> bool:
-    """Is some stretch of `text` similar to `evidence`?
+    def close(self, window: str) -> bool:
+        # Matching blocks are in order, so together they are a common subsequence: a cheap, safe upper bound of the ratio.
+        if not self.reaches(self.common_subsequence(window), len(window)):
+            return False
+        self.matcher.set_seq2(window)
+        return self.matcher.ratio() >= self.threshold
+
+
+def find_similar(text: str, evidences: list[str], threshold: float = SIMILARITY_THRESHOLD) -> list[str]:
+    """Which evidences have a similar stretch in `text`?
 
     A text no longer than the evidence is compared whole. Otherwise windows of the evidence's length, then windows a
-    quarter longer, are tried every quarter length; similarity is the standard library's sequence ratio.
+    quarter longer, are tried every quarter length; similarity is the standard library's sequence ratio. Characters shared
+    as a multiset bound the ratio for all windows at once, from running symbol counts of a slice of the text.
     """
-    if not evidence or not text:
-        return False
-    n, m = len(evidence), len(text)
-    matcher = SequenceMatcher(None, evidence, "")
-
-    def close(window: str) -> bool:
-        matcher.set_seq2(window)
-        return matcher.ratio() >= threshold
-
-    if m <= n:
-        return 2.0 * m / (n + m) >= threshold and close(text)
-    step = max(1, n // 4)
-    a, b = _codes(evidence), _codes(text)
-    for width, stop in ((n, m - n + 1), (n + step, max(1, m - n - step))):
-        width = min(width, m)
-        starts = np.arange(0, stop, step)
-        if any(close(text[i : i + width]) for i in _promising(a, b, starts, width, threshold).tolist()):
-            return True
-    return False
+    m = len(text)
+    if m == 0:
+        return []
+    quotes = [_Quote(e, threshold) for e in evidences if e]
+    found = {q.text for q in quotes if m <= q.size and q.reaches(m, m) and q.close(text)}
+    quotes = [q for q in quotes if m > q.size]
+    if not quotes:
+        return list(found)
+    codes = _codes(text)
+    widest = max(q.size + q.step for q in quotes)
+    reach = max(widest, COUNT_CELLS // len(np.unique(codes)))
+    for lo in range(0, m, reach):
+        symbols, at = np.unique(codes[lo : lo + reach + widest], return_inverse=True)
+        running = np.zeros((len(at) + 1, len(symbols)), dtype=np.int32)
+        running[np.arange(1, len(at) + 1), at] = 1
+        np.cumsum(running, axis=0, out=running)
+        for q in quotes:
+            if q.text in found:
+                continue
+            slot = np.searchsorted(symbols, q.symbols)
+            slot[slot == len(symbols)] = 0
+            known = symbols[slot] == q.symbols
+            columns, wanted = slot[known], q.counts[known]
+            for width, stop in q.shapes(m):
+                starts = np.arange(-(-lo // q.step) * q.step, min(stop, lo + reach), q.step)
+                begin = starts - lo
+                inside = running[np.ix_(begin + width, columns)] - running[np.ix_(begin, columns)]
+                shared = np.minimum(inside, wanted).sum(axis=1)
+                if any(q.close(text[i : i + width]) for i in starts[q.reaches(shared, width)].tolist()):
+                    found.add(q.text)
+                    break
+    return list(found)
+
+
+def similar(evidence: str, text: str, threshold: float = SIMILARITY_THRESHOLD) -> bool:
+    return bool(find_similar(text, [evidence], threshold))
 
 
 def _similar_batches(threshold: float):
     @F.pandas_udf("array<string>")
     def matched(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for texts, evidences in batches:
-            yield pd.Series([[e for e in es if similar(e, t, threshold)] for t, es in zip(texts, evidences)])
+            yield pd.Series([find_similar(t, list(es), threshold) for t, es in zip(texts, evidences)])
 
     return matched
 

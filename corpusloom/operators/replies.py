@@ -68,6 +68,14 @@ def of_step(responses: DataFrame, step: str) -> DataFrame:
     return responses.where((F.col("step") == step) & F.col("content").isNotNull())
 
 
+def _bound(rows: DataFrame, value: Column, name: str) -> DataFrame:
+    """Add a column that is computed once per row.
+
+    A plain derived column would be repeated inside every filter pushed below it; a generator is not looked through.
+    """
+    return rows.select("*", F.explode(F.array(value)).alias(name))
+
+
 def _failed(rows: DataFrame, ok: Column, message: str, *keys: str) -> DataFrame:
     return rows.where(~ok).select(*keys, F.lit(message).alias("error_message"))
 
@@ -75,7 +83,7 @@ def _failed(rows: DataFrame, ok: Column, message: str, *keys: str) -> DataFrame:
 def parse_types(responses: DataFrame) -> ParsedRows:
     """Type suggestions; unreadable, unknown and `generic` replies suggest `generic` without a type."""
     v = R.strict_json(strip("content"))
-    rows = of_step(responses, "type").withColumn("_v", v)
+    rows = _bound(of_step(responses, "type"), v, "_v")
     usable = F.col("_v").isNull() | R.is_object(F.col("_v"))
     named = F.when(R.is_text(F.col("_v"), "document_type"), R.text_at(F.col("_v"), "document_type"))
     known = F.coalesce(named.isin(DOCUMENT_TYPES), F.lit(False))
@@ -145,7 +153,7 @@ def parse_elements(responses: DataFrame) -> ParsedElements:
     A reply that is no JSON object with a list of elements fails its document; a bad element or edge is dropped alone.
     """
     v = R.strict_json(R.strip_code_fence("content", "first_line"))
-    rows = of_step(responses, "extraction").withColumn("_items", R.items_at(v, "elements"))
+    rows = _bound(of_step(responses, "extraction"), R.items_at(v, "elements"), "_items")
     ok = F.col("_items").isNotNull()
     each = rows.where(ok).select("document_id", "segment", F.posexplode("_items").alias("_i", "e"))
     good = each.where(F.coalesce(_element_ok(F.col("e")), F.lit(False)))
@@ -180,7 +188,7 @@ def parse_scores(responses: DataFrame, questions: DataFrame | None = None) -> Pa
     """Scores per question and element; questions whose reply (or call) failed are listed as unscored."""
     keys = ["question_id", "document_id"]
     v = R.strict_json(R.strip_code_fence("content", "first_line"))
-    rows = of_step(responses, "scoring").withColumn("_items", F.try_variant_get(v, "$", "array<variant>"))
+    rows = _bound(of_step(responses, "scoring"), F.try_variant_get(v, "$", "array<variant>"), "_items")
 
     def readable(s: Column) -> Column:
         number = R.kind(R.at(s, "score"))
@@ -230,7 +238,7 @@ def parse_contradictions(responses: DataFrame) -> ParsedFindings:
             & R.all_items(R.items_at(f, "source_refs"), lambda r: _ref_ok(r, MAX_EVIDENCE_CHARS))
         )
 
-    rows = of_step(responses, "contradiction").withColumn("_items", R.items_at(R.strict_json(strip("content")), "findings"))
+    rows = _bound(of_step(responses, "contradiction"), R.items_at(R.strict_json(strip("content")), "findings"), "_items")
     ok = R.all_items(F.col("_items"), item_ok)
     each = rows.where(ok).select("document_id", F.posexplode("_items").alias("_i", "f"))
     each = each.withColumn("finding_id", stable_id("contra-llm-", "document_id", "_i"))
@@ -267,7 +275,7 @@ def parse_ambiguities(responses: DataFrame) -> ParsedFindings:
         )
 
     v = R.strict_json(R.strip_code_fence("content", "json_prefix"))
-    rows = of_step(responses, "ambiguity").withColumn("_items", R.items_at(v, "ambiguities"))
+    rows = _bound(of_step(responses, "ambiguity"), R.items_at(v, "ambiguities"), "_items")
     ok = R.all_items(F.col("_items"), item_ok)
     each = rows.where(ok).select("document_id", F.posexplode("_items").alias("_i", "f"))
     f = F.col("f")
@@ -296,10 +304,10 @@ def parse_partials(responses: DataFrame, documents: DataFrame) -> ParsedRows:
             )
         )
 
-    rows = of_step(responses, "completeness").withColumn("_v", R.strict_json(strip("content")))
+    rows = _bound(of_step(responses, "completeness"), R.strict_json(strip("content")), "_v")
     none = F.array().cast("array<variant>")
     listed = F.when(R.has(F.col("_v"), "assessments"), R.items_at(F.col("_v"), "assessments")).otherwise(none)
-    rows = rows.withColumn("_items", F.when(F.col("_v").isNull(), none).when(R.is_object(F.col("_v")), listed))
+    rows = _bound(rows, F.when(F.col("_v").isNull(), none).when(R.is_object(F.col("_v")), listed), "_items")
     ok = R.all_items(F.col("_items"), item_ok)
     a = F.col("a")
     severity = F.when(R.has(a, "severity"), R.text_at(a, "severity")).otherwise("medium")
@@ -344,7 +352,7 @@ def parse_suggestions(responses: DataFrame) -> ParsedFindings:
         )
 
     v = R.strict_json(R.strip_code_fence("content", "first_line"))
-    rows = of_step(responses, "suggestion").withColumn("_items", R.items_at(v, "suggestions"))
+    rows = _bound(of_step(responses, "suggestion"), R.items_at(v, "suggestions"), "_items")
     ok = R.all_items(F.col("_items"), item_ok)
     s = F.col("s")
     each = rows.where(ok).select("document_id", F.posexplode("_items").alias("_i", "s"))
@@ -367,7 +375,7 @@ def parse_suggestions(responses: DataFrame) -> ParsedFindings:
 def parse_answers(responses: DataFrame) -> ParsedAnswers:
     """Answers and their references; failures keep the reply, so that it can be asked for again."""
     keys = ["question_id", "document_id"]
-    rows = of_step(responses, "answer").withColumn("_v", R.answer_object("content"))
+    rows = _bound(of_step(responses, "answer"), R.answer_object("content"), "_v")
     v = F.col("_v")
 
     def ref_ok(r: Column) -> Column:

@@ -67,18 +67,26 @@ def namespaced(elements: DataFrame, relations: DataFrame) -> graph.Graph:
 
 
 def extract_model(
-    responses: DataFrame, chunks: DataFrame, documents: DataFrame, namespace_ids: bool = False
+    responses: DataFrame,
+    chunks: DataFrame,
+    documents: DataFrame,
+    namespace_ids: bool = False,
+    settle: Settle | None = None,
 ) -> Extracted:
     """Clean element graph from extraction replies: parse, merge segments, normalise, locate, drop dangling, mirror."""
+    keep = (lambda df: df) if settle is None else settle
     parsed = replies.parse_elements(responses)
-    ok = documents.select("document_id").join(parsed.failures.select("document_id"), "document_id", "left_anti")
-    found = parsed.elements.join(parsed.failures.select("document_id"), "document_id", "left_anti")
-    edges = parsed.relations.join(parsed.failures.select("document_id"), "document_id", "left_anti")
+    failures = keep(parsed.failures)
+    ok = documents.select("document_id").join(failures.select("document_id"), "document_id", "left_anti")
+    found, edges = keep(parsed.elements), keep(parsed.relations)
     if namespace_ids:
         found, edges = namespaced(found, edges)
     merged = merge_segments(found, edges, chunks)
-    located = graph.enrich_source_refs(graph.normalize_elements(merged.elements), chunks, documents)
-    clean = graph.symmetrize_contradicts(located, graph.drop_dangling(merged.relations, located))
+    located = keep(graph.enrich_source_refs(graph.normalize_elements(merged.elements), chunks, documents))
+    mirrored = graph.symmetrize_contradicts(located, graph.drop_dangling(merged.relations, located))
+    clean = graph.Graph(
+        *[keep(df.join(failures.select("document_id"), "document_id", "left_anti")) for df in mirrored]
+    )
     asked = replies.of_step(responses, "extraction").groupBy("document_id").agg(
         F.max_by("model_id", "segment").alias("model_id")
     )
@@ -88,7 +96,7 @@ def extract_model(
         .join(asked, "document_id")
         .withColumns({"prompt_version": F.lit(PROMPT_VERSIONS["extraction"]), "temperature": F.lit(TEMPERATURE)})
     )
-    return Extracted(clean.elements, clean.relations, summary, parsed.failures)
+    return Extracted(clean.elements, clean.relations, summary, failures)
 
 
 def infer_types(chunks: DataFrame, fn: completion.Model, tiers: completion.Tiers = completion.Tiers(), settle: Settle = stored) -> replies.ParsedRows:
@@ -105,8 +113,8 @@ def analyse(
 ) -> Extracted:
     """Extraction with confirmed types, evidence checked."""
     answers = settle(completion.complete(prompts.extraction_prompts(chunks, types), fn, tiers))
-    out = extract_model(answers, chunks, documents)
-    elements = settle(evidence.verify_elements(settle(out.elements), chunks, settle=settle))
+    out = extract_model(answers, chunks, documents, settle=settle)
+    elements = settle(evidence.verify_elements(out.elements, chunks, settle=settle))
     rates = evidence.verification_summary(out.summary, elements).select("document_id", "verification_rate")
     lost = answers.where(F.col("content").isNull()).select("document_id", F.col("error").alias("error_message")).distinct()
     return Extracted(
@@ -114,6 +122,30 @@ def analyse(
     )
 
 
+def phase_failures(
+    documents: DataFrame, elements: DataFrame, catalogue: DataFrame, responses: DataFrame
+) -> DataFrame:
+    """The first phase that fails each document, and why."""
+    phases = [
+        ("analyzing_contradictions", replies.parse_contradictions(responses).failures),
+        ("analyzing_ambiguities", replies.parse_ambiguities(responses).failures.unionByName(_no_reply(responses, "ambiguity"))),
+        (
+            "analyzing_completeness",
+            replies.parse_partials(responses, documents).failures.unionByName(_no_reply(responses, "completeness")).unionByName(
+                quality.completeness_errors(documents, elements, catalogue)
+            ),
+        ),
+        ("generating_suggestions", replies.parse_suggestions(responses).failures.unionByName(_no_reply(responses, "suggestion"))),
+    ]
+    failures = None
+    for rank, (phase, rows) in enumerate(phases):
+        rows = rows.select("document_id", F.struct(F.lit(rank), F.lit(phase), "error_message").alias("_f"))
+        failures = rows if failures is None else failures.unionByName(rows)
+    return failures.groupBy("document_id").agg(F.min("_f").alias("_f")).select(
+        "document_id", F.col("_f.col2").alias("error_phase"), F.col("_f.error_message").alias("error_message")
+    )
+
+
 def assess_replies(
     documents: DataFrame,
     elements: DataFrame,
@@ -137,10 +169,11 @@ def assess_replies(
     partial = replies.parse_partials(responses, documents)
     said = replies.parse_suggestions(responses)
     findings = quality.all_inconsistencies(quality.contradictions(struct, semantic.findings), vague.findings)
-    findings = keep(quality.flag_unverified(findings, elements))
+    findings = keep(quality.flag_unverified(keep(findings), elements))
     missing = keep(quality.missing_elements(documents, elements, catalogue).unionByName(partial.rows))
-    proposed = quality.suggest(said.findings, said.refs, findings, missing, chunks)
-    refs = struct_refs.unionByName(semantic.refs).unionByName(vague.refs).unionByName(proposed.refs)
+    proposed = quality.suggest(keep(said.findings), keep(said.refs), findings, missing, chunks)
+    proposed = quality.Suggestions(keep(proposed.suggestions), proposed.refs)
+    refs = keep(struct_refs.unionByName(semantic.refs).unionByName(vague.refs).unionByName(proposed.refs))
     checked = keep(evidence.verify_evidence(refs, chunks, threshold, fuzzy, settle)).drop("match")
     by_finding = checked.withColumnRenamed("owner_id", "finding_id")
     by_suggestion = checked.withColumnRenamed("owner_id", "suggestion_id")
@@ -148,24 +181,7 @@ def assess_replies(
     suggestions = evidence.all_evidence_unverified(
         proposed.suggestions, by_suggestion, ["document_id", "suggestion_id"]
     )
-    phases = [
-        ("analyzing_contradictions", semantic.failures),
-        ("analyzing_ambiguities", vague.failures.unionByName(_no_reply(responses, "ambiguity"))),
-        (
-            "analyzing_completeness",
-            partial.failures.unionByName(_no_reply(responses, "completeness")).unionByName(
-                quality.completeness_errors(documents, elements, catalogue)
-            ),
-        ),
-        ("generating_suggestions", said.failures.unionByName(_no_reply(responses, "suggestion"))),
-    ]
-    failures = None
-    for rank, (phase, rows) in enumerate(phases):
-        rows = rows.select("document_id", F.struct(F.lit(rank), F.lit(phase), "error_message").alias("_f"))
-        failures = rows if failures is None else failures.unionByName(rows)
-    failures = failures.groupBy("document_id").agg(F.min("_f").alias("_f")).select(
-        "document_id", F.col("_f.col2").alias("error_phase"), F.col("_f.error_message").alias("error_message")
-    )
+    failures = keep(phase_failures(documents, elements, catalogue, responses))
     good = documents.join(failures, "document_id", "left_anti")
     results = quality.finding_counts(good, findings, missing, suggestions).join(
         documents.select("document_id", "document_type"), "document_id"

@@ -143,7 +143,7 @@ def strip_code_fences(spark: SparkSession, sf_dir: str) -> DataFrame:
     'extraction-v1' AS prompt_version, 'model-a' AS model_id FROM g GROUP BY document_id""")
 def extract_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extraction replies to a clean graph: counts per document after all clean-up."""
-    out = analysis.extract_model(responses(spark, sf_dir), corpus.stored(spark, sf_dir, "chunks"), _markdown(spark, sf_dir))
+    out = _extracted(spark, sf_dir)
     return out.summary.select(
         "document_id", "element_count", "relationship_count", "lacks_purpose", "prompt_version", "model_id"
     )
@@ -152,11 +152,18 @@ def extract_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""SELECT el.document_id, el.id, trim(name, ' ' || chr(9) || chr(10) || chr(13)) AS name, section FROM el LEFT JOIN ch c
     ON c.document_id = el.document_id AND c.chunk_id = el.chunk_id WHERE pos % 10 <> 9 AND el.{_OK}""")
 def extract_model_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = analysis.extract_model(responses(spark, sf_dir), corpus.stored(spark, sf_dir, "chunks"), _markdown(spark, sf_dir))
+    out = _extracted(spark, sf_dir)
     return out.elements.select("document_id", "id", "name", "source_ref.section")
 
 
-def _assessed(spark: SparkSession, sf_dir: str, fuzzy: bool) -> analysis.Assessed:
+def _extracted(spark: SparkSession, sf_dir: str) -> analysis.Extracted:
+    chunks = corpus.stored(spark, sf_dir, "chunks")
+    return analysis.extract_model(
+        responses(spark, sf_dir), chunks, _markdown(spark, sf_dir), settle=lambda df: materialize(df, "extracted")
+    )
+
+
+def _assessed(spark: SparkSession, sf_dir: str) -> analysis.Assessed:
     return analysis.assess_replies(
         docs(spark, sf_dir),
         els(spark, sf_dir),
@@ -164,8 +171,7 @@ def _assessed(spark: SparkSession, sf_dir: str, fuzzy: bool) -> analysis.Assesse
         corpus.stored(spark, sf_dir, "chunks"),
         type_schema(spark),
         responses(spark, sf_dir),
-        fuzzy=fuzzy,
-        settle=lambda df: materialize(df, "quality"),
+                settle=lambda df: materialize(df, "quality"),
     )
 
 
@@ -176,13 +182,14 @@ def _assessed(spark: SparkSession, sf_dir: str, fuzzy: bool) -> analysis.Assesse
     SELECT document_id, ['analyzing_contradictions', 'analyzing_ambiguities', 'analyzing_completeness', 'generating_suggestions'][min(rank) + 1] AS error_phase
     FROM f GROUP BY document_id""")
 def quality_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _assessed(spark, sf_dir, fuzzy=False).failures.select("document_id", "error_phase")
+    out = analysis.phase_failures(docs(spark, sf_dir), els(spark, sf_dir), type_schema(spark), responses(spark, sf_dir))
+    return out.select("document_id", "error_phase")
 
 
 @query()
 def assess_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole assessment with evidence checked by similarity too: counts per completed document."""
-    out = _assessed(spark, sf_dir, fuzzy=True)
+    out = _assessed(spark, sf_dir)
     flagged = out.findings.groupBy("document_id").agg(F.count_if("all_evidence_unverified").alias("unsupported"))
     return out.results.join(flagged, "document_id", "left").na.fill(0, ["unsupported"])
 

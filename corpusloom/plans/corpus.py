@@ -25,8 +25,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-spread a table that lies in fewer files than there are cores; one in many files is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+
+
 def raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").withColumn("document_id", F.col("doc_id").cast("string"))
+    docs = spread(table(spark, sf_dir, "documents"), "doc_id")
+    return docs.withColumn("document_id", F.col("doc_id").cast("string"))
 
 
 def markdown_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
