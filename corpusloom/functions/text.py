@@ -121,7 +121,7 @@ def annotate_unverified(content: Column | str, verified: Column | str) -> Column
 
 def clamp_score(v: Column | str) -> Column:
     """Integer part limited to 0..10; missing counts as 0."""
-    return F.coalesce(F.greatest(F.lit(0), F.least(F.lit(10), _col(v).cast("int"))), F.lit(0))
+    return F.greatest(F.lit(0), F.least(F.lit(10), F.coalesce(_col(v).cast("int"), F.lit(0))))
 
 
 def evidence_preview(c: Column | str, n: int = 200) -> Column:

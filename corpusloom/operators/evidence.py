@@ -44,7 +44,7 @@ def match_referenced_chunk(keys: DataFrame, chunks: DataFrame) -> DataFrame:
     )
 
 
-def evidence_batches(keys: DataFrame, chunks: DataFrame, batch: int = BATCH, block: int = CHUNK_BLOCK) -> DataFrame:
+def evidence_batches(keys: DataFrame, chunks: DataFrame, batch: int, block: int) -> DataFrame:
     """Distinct evidence texts per document in batches of about `batch`, one copy per block of the document's chunks."""
     texts = keys.select("document_id", "evidence").distinct()
     spread = texts.withColumn("_salt", F.pmod(F.xxhash64("evidence"), F.lit(64)).cast("int"))
@@ -71,7 +71,7 @@ def _block(block: int) -> Column:
 def _chunk_batches(keys: DataFrame, chunks: DataFrame) -> DataFrame:
     """One row per (chunk, batch of evidences of its document)."""
     texts = chunks.select("document_id", _block(CHUNK_BLOCK).alias("_block"), normalize_ws("text").alias("_text"))
-    return texts.join(evidence_batches(keys, chunks), ["document_id", "_block"])
+    return texts.join(evidence_batches(keys, chunks, BATCH, CHUNK_BLOCK), ["document_id", "_block"])
 
 
 def _flag(keys: DataFrame, found: DataFrame, name: str) -> DataFrame:
