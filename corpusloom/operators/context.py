@@ -7,6 +7,7 @@ running sums see bounded groups.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -143,10 +144,15 @@ def build_context(
     unscored: DataFrame | None = None,
     window_tokens: int = CONTEXT_WINDOW_TOKENS,
     limit: int = MAX_DIRECT_ELEMENTS,
+    settle: Callable[[DataFrame], DataFrame] | None = None,
 ) -> Context:
-    """Context elements, relations and totals per question. Questions without a relevant element have no summary row."""
+    """Context elements, relations and totals per question. Questions without a relevant element have no summary row.
+
+    `settle` may store the ranked and the chosen elements, which several later steps read.
+    """
+    keep = (lambda df: df) if settle is None else settle
     budget = int(window_tokens * CONTEXT_RATIO)
-    ranked = with_tokens(rank_relevant(relevant_elements(questions, elements, scores, unscored), limit))
+    ranked = keep(with_tokens(rank_relevant(relevant_elements(questions, elements, scores, unscored), limit)))
     direct = budget_direct(ranked, budget)
     related = with_tokens(one_hop(ranked, relations, elements))
     hop = budget_relational(related, direct, budget)
@@ -154,7 +160,8 @@ def build_context(
     included = direct.select(*shared, F.lit("direct").alias("role"), F.col("rank").cast("long").alias("place")).unionByName(
         hop.select(*shared, F.lit("related").alias("role"), F.lit(None).cast("long").alias("place"))
     )
-    edges = budget_relations(context_relations(direct, relations, included), included, budget)
+    included = keep(included)
+    edges = keep(budget_relations(context_relations(direct, relations, included), included, budget))
     tokens = _used(included, edges)
     flags = included.groupBy(*Q).agg(
         F.bool_or(~F.col("verified")).alias("has_unverified_elements"), F.count("*").alias("element_count")

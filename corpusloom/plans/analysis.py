@@ -262,8 +262,8 @@ def answer_questions(
     scored = settle(completion.complete(prompts.scoring_prompts(questions, elements), fn, tiers))
     with_elements = questions.join(elements.select("document_id").distinct(), "document_id", "left_semi")
     marks = replies.parse_scores(scored, with_elements)
-    chosen = ctx.build_context(questions, elements, relations, marks.scores, marks.unscored)
-    summary = settle(chosen.summary)
+    chosen = ctx.build_context(questions, elements, relations, marks.scores, marks.unscored, settle=settle)
+    summary = chosen.summary
     asked = settle(prompts.answer_prompts(questions, chosen.elements, chosen.relations))
     got = settle(completion.complete(asked, fn, tiers))
     parsed = completion.retry_unparsed(asked, got, fn, tiers, settle)

@@ -339,5 +339,5 @@ def stored(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _stored:
         built = globals()[name](spark, sf_dir)
-        _stored[key] = materialize(built.repartition("document_id"), f"corpus-{name}")
+        _stored[key] = materialize(built.hint("rebalance", "document_id"), f"corpus-{name}")
     return _stored[key]

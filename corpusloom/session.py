@@ -8,12 +8,14 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Settings a job should run with. Skew handling and partition coalescing are left to adaptive execution; the group-limit
+# Settings a job should run with. Skew handling (also where it costs one more shuffle) and
+# partition coalescing are left to adaptive execution; the group-limit
 # threshold is raised so that the token-budget prefix (at most one row per budget token) is cut before its shuffle.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.optimizer.windowGroupLimitThreshold": "200000",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
