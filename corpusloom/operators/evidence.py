@@ -196,7 +196,8 @@ def match_fuzzy(
     open_keys = keys if unless is None else keys.where(~unless)
     # A fixed partition count: the work per row is CPU, so adaptive merging of small partitions would only serialise it.
     partitions = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = _chunk_batches(open_keys, chunks).repartition(partitions, F.xxhash64("document_id", "_block", "_text"))
+    # Text and batch are both hashed, so that neither a much quoted document nor a long one gathers in one partition.
+    pairs = _chunk_batches(open_keys, chunks).repartition(partitions, F.xxhash64("_text", "evidences"))
     found = pairs.select(
         "document_id", F.explode(_similar_batches(threshold)("_text", "evidences")).alias("evidence")
     )
