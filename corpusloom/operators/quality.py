@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.functions.text import stable_id, truncate
-from corpusloom.model import DOCUMENT_TYPES, MAX_EVIDENCE_CHARS, MAX_SUGGESTION_CHARS, MAX_SUGGESTIONS
+from corpusloom.model import MAX_EVIDENCE_CHARS, MAX_SUGGESTION_CHARS, MAX_SUGGESTIONS
 
 FINDING_KEY = ["document_id", "finding_id"]
 CATALOGUE_ROWS = 10_000
@@ -258,7 +258,3 @@ def suggest(
     owners = kept.select("document_id", F.col("suggestion_id").alias("owner_id"))
     own = refs.join(owners, ["document_id", "owner_id"], "left_semi").select(*refs.columns)
     return Suggestions(kept, default_suggestion_refs(kept, own, chunks))
-
-
-def known_type(document_type: Column) -> Column:
-    return document_type.isin(DOCUMENT_TYPES)

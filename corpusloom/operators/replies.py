@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import replies as R
-from corpusloom.functions.text import clamp_score, stable_id, strip, truncate
+from corpusloom.functions.text import clamp_score, stable_id, strip
 from corpusloom.model import (
     DOCUMENT_TYPES,
     ELEMENT_TYPES,
@@ -418,7 +418,3 @@ def parse_answers(responses: DataFrame) -> ParsedAnswers:
     )
     failures = rows.where(~ok).select(*keys, "attempt", "content", message.alias("error_message"))
     return ParsedAnswers(answers, refs, failures)
-
-
-def cut_error(message: Column | str, n: int) -> Column:
-    return truncate(message, n)

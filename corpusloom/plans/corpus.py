@@ -236,7 +236,7 @@ def _gathered(rows: DataFrame, keys: list[str], item: Column) -> DataFrame:
     return rows.groupBy(*keys).agg(listed.alias("items"))
 
 
-def _ref(e: Column | None = None) -> Column:
+def _ref() -> Column:
     return F.struct("source_ref.chunk_id", "source_ref.evidence")
 
 
