@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,7 +60,7 @@ def total(spark: SparkSession, df: DataFrame, value: Column) -> int:
 def slices(batch: pa.RecordBatch, text: str = "text") -> Iterator[pa.RecordBatch]:
     """Cut an Arrow batch so that the texts of one slice stay within a few megabytes (one longer text makes a slice)."""
     column = batch.column(batch.schema.get_field_index(text))
-    sizes = pa.compute.binary_length(column).fill_null(0).to_pylist()
+    sizes = pc.binary_length(column).fill_null(0).to_pylist()
     start = used = 0
     for i, size in enumerate(sizes):
         if i > start and (used + size > SLICE_CHARS or i - start >= SLICE_ROWS):

@@ -9,6 +9,7 @@ to the library whole. One pass, no shuffle.
 from __future__ import annotations
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +27,7 @@ def token_counts(docs: DataFrame, text: str = "text", **keep: Column) -> DataFra
         if not state:
             state.append(Counter())
         texts = part.column(part.num_columns - 1)
-        sizes = pa.compute.binary_length(texts).fill_null(0).cast(pa.int64())
+        sizes = pc.binary_length(texts).fill_null(0).cast(pa.int64())
         counts = pa.array(state[0].count(texts.to_pylist()), pa.int64())
         return pa.RecordBatch.from_arrays(
             [*part.columns[:-1], sizes, counts], names=[*part.schema.names[:-1], "n_bytes", "n_tokens"]
