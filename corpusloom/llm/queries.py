@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontaminate, language_id, line_dedup, order_minhash, packing, token_counts
+from corpusloom.llm import chat_format, decontaminate, language_id, line_dedup, order_minhash, packing, quality, token_counts, toxicity
 from corpusloom.llm.common import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +56,28 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_removed", "text")
 
 
+MARKS = sum(len(mark) for mark in chat_format.PRINTED.values())
+ESCAPED = "regexp_replace({}, '(<)(\\\\*)(\\|turn\\|>|\\|text\\|>|\\|end\\|>|\\|endoftext\\|>|\\|im_start\\|>|\\|im_end\\|>|s>|/s>)|(\\[)(\\\\*)(/?INST\\])', '\\1\\4\\\\\\2\\5\\3\\6', 'g')"
+
+
+@query(rf"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, unnest([0, 1]), unnest(['user', 'assistant']), '</s>[INST] ok [/INST]'),
+e AS (SELECT *, {MARKS} + len({ESCAPED.format("role")}) + len({ESCAPED.format("text")}) AS n FROM c)
+SELECT conv_id, count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+    CAST(coalesce(sum(len(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    CAST(sum(n) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id""")
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation formatted, and read back from the output."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    planted = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
+    formatted = chat_format.format_turns(rows.unionByName(planted))
+    return chat_format.conversation_digests(chat_format.read_back(formatted))
+
+
 @query()
 def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate class of every document."""
@@ -63,6 +85,17 @@ def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select(F.col("id").alias("doc_id"), "class_id", "keeper")
 
 
+@query()
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity score of every document, learned from those not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    done = toxicity.score(docs, model, doc_id=F.col("doc_id"))
+    return done.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 
@@ -93,6 +126,12 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def op7_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base rule and compression verdict of every document."""
+    return quality.quality(table(spark, sf_dir, "documents"), doc_id=F.col("doc_id"))
+
+
 TOKEN_LIMIT = 512
 
 
