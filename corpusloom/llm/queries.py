@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import chat_format, decontaminate, language_id, line_dedup, order_minhash, packing, quality, token_counts, toxicity
+from corpusloom.llm import chat_format, decontaminate, language_id, line_dedup, order_minhash, packing, quality, substring_dedup, token_counts, toxicity
 from corpusloom.llm.common import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,6 +78,12 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.conversation_digests(chat_format.read_back(formatted))
 
 
+@query()
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that an earlier document holds too."""
+    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate class of every document."""
