@@ -10,9 +10,11 @@ edit distance is at most 0.2 of the longer length. Alignment keeps, for each dia
 the furthest point reached with a given number of edits.
 
 Groups: equal texts collapse to one before anything is compared. In a bucket every text is compared with the bucket's
-leader, which is linear; the links are joined into components; then only texts of one bucket that are still in different
-components and of fitting length are compared with each other, so no link between different texts is lost and a large
-group of copies is never paired within itself. Candidates are found surely enough where texts share most of their k-mers: at a
+leader, the text that shares most buckets with others, which is linear; the links are joined into components, and texts of
+another component than the next leader are compared with that one, `ROUNDS` times in all. Then only texts of one bucket
+that are still in different components, of fitting length and with min-hash minima that a shingle similarity of 0.8 allows
+are compared with each other, so no link of that similarity is lost and a large group of copies is never paired within
+itself. Texts less alike in shingles, but within the edit bound, are linked where a leader joins them. Candidates are found surely enough where texts share most of their k-mers: at a
 shingle similarity of 0.8 a pair is missed with a probability below 1e-6, at 0.5 with about 0.04.
 
 Null and wordless texts match nothing.
@@ -20,7 +22,7 @@ Null and wordless texts match nothing.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_left
 
 import numpy as np
 import pandas as pd
@@ -36,6 +38,9 @@ K = 5
 PICKS = 3
 SKETCHES = 24
 SIMILARITY = 0.8
+ROUNDS = 2
+BINS = 128
+LEAST_EQUAL = 79  # of 128 bins: at a shingle similarity of 0.8 a pair has fewer with a probability of about 1e-7
 
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 MULTIPLIERS = np.random.default_rng(20240601).integers(1, 2**63, size=SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -96,26 +101,50 @@ def sketch(values: np.ndarray, picks: int = PICKS) -> np.ndarray:
     return out
 
 
+def bin_minima(values: np.ndarray) -> np.ndarray:
+    """The least hash in each of 128 bins, as six bits and never 0 (0 stands for an empty bin), eight bins to a number."""
+    ordered = np.sort(mix(values ^ np.uint64(0x5851F42D4C957F2D)))
+    bins, first = np.unique(ordered >> np.uint64(57), return_index=True)
+    out = np.zeros(BINS, dtype=np.uint8)
+    out[bins.astype(np.int64)] = mix(ordered[first]) % np.uint64(63) + np.uint64(1)
+    return out.view("<i8")
+
+
+def equal_bins(left: str, right: str) -> Column:
+    """In how many bins two texts agree; bytes that differ reach bit 6 when 63 is added."""
+    fill, flag = int.from_bytes(b"\x3f" * 8, "little"), int.from_bytes(b"\x40" * 8, "little")
+    count = F.lit(BINS)
+    for i in range(BINS // 8):
+        differ = F.get(left, F.lit(i)).bitwiseXOR(F.get(right, F.lit(i))) + F.lit(fill)
+        count = count - F.bit_count(differ.bitwiseAND(F.lit(flag)))
+    return count
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """docs (key, text) to (key, n_words, sketch array); wordless texts give no row."""
+    """docs (key, text) to (key, n_words, sketch, bins); wordless texts give no row."""
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
         texts = [words_of(t) for t in part.column(1).to_pylist()]
         hashed, bounds = hash_words(texts)
         rows = [i for i, t in enumerate(texts) if t]
-        made = [sketch(labelled(kmers(hashed[bounds[i] : bounds[i + 1]], K))).view(np.int64) for i in rows]
-        flat = pa.array(np.concatenate(made) if made else np.zeros(0, np.int64))
-        offsets = pa.array(np.arange(len(rows) + 1) * SKETCHES, pa.int32())
+        runs = [labelled(kmers(hashed[bounds[i] : bounds[i + 1]], K)) for i in rows]
+
+        def lists(made: list[np.ndarray], width: int) -> pa.Array:
+            flat = pa.array(np.concatenate(made) if made else np.zeros(0, np.int64))
+            return pa.ListArray.from_arrays(pa.array(np.arange(len(made) + 1) * width, pa.int32()), flat)
+
         return pa.RecordBatch.from_arrays(
             [
                 part.column(0).take(pa.array(rows, pa.int32())),
                 pa.array([len(texts[i]) for i in rows], pa.int32()),
-                pa.ListArray.from_arrays(offsets, flat),
+                lists([sketch(r).view(np.int64) for r in runs], SKETCHES),
+                lists([bin_minima(r) for r in runs], BINS // 8),
             ],
-            names=["key", "n_words", "sketch"],
+            names=["key", "n_words", "sketch", "bins"],
         )
 
-    return map_slices(docs.select("key", "text"), work, "key binary, n_words int, sketch array<bigint>")
+    schema = "key binary, n_words int, sketch array<bigint>, bins array<bigint>"
+    return map_slices(docs.select("key", "text"), work, schema)
 
 
 def edits_within(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
@@ -133,15 +162,15 @@ def edits_within(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
         return max(n, m) if max(n, m) <= most else None
     if abs(n - m) > most:
         return None
-    breaks: dict[int, np.ndarray] = {}  # per diagonal: places of a whose word differs, the end last
+    breaks: dict[int, list[int]] = {}  # per diagonal: places of a whose word differs, the end last
 
     def slide(diagonal: int, i: int) -> int:
         stops = breaks.get(diagonal)
         if stops is None:
             low, high = max(0, -diagonal), min(n, m - diagonal)
-            stops = np.append(np.flatnonzero(a[low:high] != b[low + diagonal : high + diagonal]) + low, high)
+            stops = (np.flatnonzero(a[low:high] != b[low + diagonal : high + diagonal]) + low).tolist() + [high]
             breaks[diagonal] = stops
-        return int(stops[np.searchsorted(stops, i)])
+        return stops[bisect_left(stops, i)]
 
     reach = {0: slide(0, 0)}
     goal = m - n
@@ -172,11 +201,19 @@ def similar(a: list[bytes], b: list[bytes], threshold: float = SIMILARITY) -> bo
     most = int((1 - threshold) * longest + 1e-9)
     codes: dict[bytes, int] = {}
     left, right = (np.array([codes.setdefault(w, len(codes)) for w in x], dtype=np.int64) for x in (a, b))
-    if longest - most > np.minimum(
-        np.bincount(left, minlength=len(codes)), np.bincount(right, minlength=len(codes))
-    ).sum():
-        return False  # too few common words in any order
-    return edits_within(left, right, most) is not None
+    # an edit touches at most q runs of q words, so similar texts share all but q * most of the longer one's runs
+    for q in (1, 2, 3):
+        if q > 1:
+            left, right = (x[:-1] * len(codes) + y[q - 1 :] for x, y in ((left, ids_left), (right, ids_right)))
+            numbers, inverse = np.unique(np.concatenate([left, right]), return_inverse=True)
+            left, right = inverse[: len(left)], inverse[len(left) :]
+            size = len(numbers)
+        else:
+            ids_left, ids_right, size = left, right, len(codes)
+        common = np.minimum(np.bincount(left, minlength=size), np.bincount(right, minlength=size)).sum()
+        if common < longest - q + 1 - q * most:
+            return False
+    return edits_within(ids_left, ids_right, most) is not None
 
 
 def verify(pairs: DataFrame, texts: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
@@ -201,28 +238,44 @@ def near_duplicate_links(docs: DataFrame, threshold: float = SIMILARITY) -> Data
     """docs (key, id_text, text) to components (node, root) of all texts that have a similar other text."""
     made = stored(sketches(docs).dropDuplicates(["key"]), "sketches")
     rows = made.select("key", "n_words", F.posexplode("sketch").alias("fn", "value"))
-    shared = rows.groupBy("fn", "value").agg(F.min("key").alias("leader"), F.count("*").alias("n")).where("n > 1")
-    shared = stored(shared.select("fn", "value", "leader"), "buckets")
-    members = stored(rows.join(shared, ["fn", "value"]), "members")
+    shared = rows.groupBy("fn", "value").agg(F.count("*").alias("n")).where("n > 1")
+    members = stored(rows.join(stored(shared.select("fn", "value"), "buckets"), ["fn", "value"]), "members")
+    degrees = members.groupBy("key").agg(F.count("*").alias("degree"))
+    degrees = stored(degrees, "degrees")
     # one row of each text that takes part; equal rows of one id are told apart only here
-    nodes = members.select("key").distinct()
-    spot = docs.groupBy("key").agg(F.min("id_text").alias("id_text")).join(nodes, "key", "left_semi")
-    texts = docs.join(stored(spot, "spots"), ["key", "id_text"], "left_semi").dropDuplicates(["key"])
+    spot = docs.groupBy("key").agg(F.min("id_text").alias("id_text")).join(degrees, "key", "left_semi")
+    texts = docs.join(stored(spot, "spots").hint("merge"), ["key", "id_text"], "left_semi").dropDuplicates(["key"])
     texts = stored(texts.select("key", "text"), "texts")
-    led = members.where("key != leader").select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct()
-    links = stored(verify(led, texts, threshold), "links")
-    roots = components(links, "a", "b")
-    named = members.where("key != leader").join(roots, F.col("key") == F.col("node"), "left")
-    named = stored(named.select("fn", "value", "key", "n_words", F.coalesce("root", "key").alias("root")), "named")
-    # leaders have met all of their bucket; of the others, those in different components still have to meet
-    several = named.groupBy("fn", "value").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
-    left = stored(named.join(stored(several.select("fn", "value"), "open"), ["fn", "value"], "left_semi"), "unsettled")
-    right = left.select("fn", "value", *[F.col(c).alias(f"{c}_b") for c in ("key", "root", "n_words")])
+    waiting = stored(members.join(degrees, "key").withColumn("root", F.col("key")), "waiting")
+    links = None
+    for _ in range(ROUNDS):
+        head = F.max(F.struct("degree", "key", "root", "n_words")).alias("head")
+        leaders = stored(waiting.groupBy("fn", "value").agg(head).select("fn", "value", "head.*"), "leaders")
+        led = _pairs(waiting, leaders, F.col("key") != F.col("key_b"), threshold)
+        more = stored(verify(led, texts, threshold), "links")
+        links = more if links is None else links.unionByName(more)
+        waiting = _unsettled(waiting, leaders, components(links, "a", "b"))
+    waiting = stored(waiting.join(made.select("key", "bins"), "key"), "waiting")
+    likely = (F.col("key") < F.col("key_b")) & (equal_bins("bins", "bins_b") >= LEAST_EQUAL)
+    rest = _pairs(waiting, waiting, likely, threshold)
+    return components(links.unionByName(stored(verify(rest, texts, threshold), "links")), "a", "b")
+
+
+def _pairs(members: DataFrame, others: DataFrame, which: Column, threshold: float) -> DataFrame:
+    """Pairs of one bucket in different components whose lengths allow the similarity."""
+    right = others.select("fn", "value", *[F.col(c).alias(f"{c}_b") for c in others.columns if c not in ("fn", "value")])
     fits = F.least("n_words", "n_words_b") >= threshold * F.greatest("n_words", "n_words_b")
-    rest = left.join(right, ["fn", "value"]).where((F.col("key") < F.col("key_b")) & (F.col("root") != F.col("root_b")) & fits)
-    rest = rest.select(F.col("key").alias("a"), F.col("key_b").alias("b")).distinct()
-    more = stored(verify(rest, texts, threshold), "links")
-    return components(links.unionByName(more), "a", "b")
+    met = members.join(right, ["fn", "value"]).where((F.col("root") != F.col("root_b")) & fits & which)
+    return met.select(F.col("key_b").alias("a"), F.col("key").alias("b")).distinct()
+
+
+def _unsettled(waiting: DataFrame, leaders: DataFrame, roots: DataFrame) -> DataFrame:
+    """What still has to meet: leaders have met all of their bucket, and one component needs no more links."""
+    rest = waiting.drop("root").join(leaders.select("fn", "value", "key"), ["fn", "value", "key"], "left_anti")
+    rest = rest.join(roots, F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "key")).drop("node")
+    rest = stored(rest, "rest")
+    several = rest.groupBy("fn", "value").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
+    return stored(rest.join(stored(several.select("fn", "value"), "open"), ["fn", "value"], "left_semi"), "waiting")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = SIMILARITY) -> DataFrame:
