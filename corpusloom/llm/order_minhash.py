@@ -302,7 +302,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         "id",
         "key",
         F.when(chosen.isNull(), F.col("id")).otherwise(chosen["id"]).alias("class_id"),
-        F.coalesce(keeper, F.lit(True)).alias("keeper"),
+        F.when(chosen.isNull(), True).otherwise(keeper).alias("keeper"),
     )
 
 

@@ -7,7 +7,7 @@ back to its own tier. So windows are exactly as long as their tier. Step groups
 number of tokens in all (`STEP_TOKENS`), however long the windows are.
 
 Each task packs its own rows, chunk by chunk, and hands parts left over to its next chunk; nothing is shuffled, and a
-rerun task makes the same windows. The last open window of a task is cut at powers of two; what is under 64 is padded.
+rerun task makes the same windows. The last open window of a task is cut at powers of two, so nothing is padded.
 """
 
 from __future__ import annotations
@@ -28,7 +28,6 @@ TIERS = (256, 512, 1024, 2048)
 END_ID = 1
 STEP_TOKENS = 16 * 2048
 CHUNK_TOKENS = 2_000_000
-LEAST_TAIL = 64
 
 PIECE = (
     "start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint, tier int, step_group bigint"
@@ -102,7 +101,7 @@ class Packer:
         """An open window, cut at powers of two."""
         out, left = [], sum(p[0] for p in parts)
         while parts:
-            take = 1 << (left.bit_length() - 1) if left >= LEAST_TAIL else left
+            take = 1 << (left.bit_length() - 1)
             tier, now, room = next(t for t in self.tiers if t >= take), [], take
             while room:
                 size, document, start = parts.pop(0)
