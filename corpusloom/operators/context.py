@@ -97,7 +97,8 @@ def _fit(rows: DataFrame, order: list[Column | str], budget: Column | int, at_mo
 
 
 def budget_direct(direct: DataFrame, budget: int) -> DataFrame:
-    return _fit(direct, ["rank"], budget, MAX_DIRECT_ELEMENTS)
+    """The ranked elements that fit; how many may be ranked is the caller's choice, and each costs a token at least."""
+    return _fit(direct, ["rank"], budget, budget)
 
 
 def _used(*parts: DataFrame) -> DataFrame:

@@ -12,7 +12,6 @@ from corpusloom.functions.text import stable_id, truncate
 from corpusloom.model import MAX_EVIDENCE_CHARS, MAX_SUGGESTION_CHARS, MAX_SUGGESTIONS
 
 FINDING_KEY = ["document_id", "finding_id"]
-CATALOGUE_ROWS = 10_000
 
 
 class Suggestions(NamedTuple):
@@ -20,11 +19,6 @@ class Suggestions(NamedTuple):
     refs: DataFrame
 
 
-def bounded(catalogue: DataFrame, rows: int = CATALOGUE_ROWS) -> DataFrame:
-    """Broadcast a catalogue after checking that it is small; leave the join strategy to Spark otherwise."""
-    return F.broadcast(catalogue) if catalogue.limit(rows + 1).count() <= rows else catalogue
-
-
 def flag_unverified(findings: DataFrame, elements: DataFrame) -> DataFrame:
     """Raise `involves_unverified_elements` where an affected id is a known, unverified element; never lower it."""
     bad = elements.where(~F.col("verified")).select("document_id", F.col("id").alias("_id")).distinct()
@@ -46,7 +40,7 @@ def flag_unverified(findings: DataFrame, elements: DataFrame) -> DataFrame:
 def _expected(documents: DataFrame, catalogue: DataFrame) -> DataFrame:
     """Expectations per document: `(document_id, document_type)` with each entry of its type."""
     return documents.select("document_id", "document_type").join(
-        bounded(catalogue.withColumnsRenamed({"pos": "schema_pos", "name": "expected_element", "description": "expected"})),
+        catalogue.withColumnsRenamed({"pos": "schema_pos", "name": "expected_element", "description": "expected"}),
         "document_type",
     )
 
@@ -58,14 +52,10 @@ def _meets(expected: Column, name: Column, type_: Column) -> Column:
 
 def schema_matches(documents: DataFrame, elements: DataFrame, catalogue: DataFrame) -> DataFrame:
     """(expectation, element) pairs that match by name or type, either containing the other."""
-    entries = bounded(
-        catalogue.groupBy("document_type").agg(
-            F.collect_list(F.struct("pos", "name", "description", "importance")).alias("_entries")
-        )
-    )
-    typed = elements.join(documents.select("document_id", "document_type"), "document_id").join(entries, "document_type")
-    hits = F.filter("_entries", lambda e: _meets(e["name"], F.col("name"), F.col("type")))
-    rows = typed.select("document_id", "document_type", "pos", "id", "type", "name", "content", F.explode(hits).alias("_e"))
+    typed = elements.join(documents.select("document_id", "document_type"), "document_id")
+    entries = catalogue.select("document_type", F.struct("pos", "name", "description", "importance").alias("_e"))
+    met = typed.join(entries, "document_type").where(_meets(F.col("_e.name"), F.col("name"), F.col("type")))
+    rows = met.select("document_id", "document_type", "pos", "id", "type", "name", "content", "_e")
     return rows.select(
         "document_id",
         "document_type",
@@ -97,7 +87,7 @@ def match_schema(documents: DataFrame, elements: DataFrame, catalogue: DataFrame
 def completeness_errors(documents: DataFrame, elements: DataFrame, catalogue: DataFrame) -> DataFrame:
     """Documents whose completeness cannot be judged: no elements, or a type nobody described."""
     some = elements.select("document_id").distinct().withColumn("_some", F.lit(True))
-    known = bounded(catalogue.select("document_type").distinct().withColumn("_known", F.lit(True)))
+    known = catalogue.select("document_type").distinct().withColumn("_known", F.lit(True))
     rows = (
         documents.select("document_id", "document_type")
         .where(F.col("document_type") != "generic")

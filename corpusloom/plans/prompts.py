@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.text import chunk_label, truncate
 from corpusloom.model import CANNOT_ANSWER, DOCUMENT_TYPES, ELEMENT_TYPES, PROMPT_VERSIONS, RELATION_TYPES, SCORING_PREVIEW_CHARS
-from corpusloom.operators.quality import bounded
 from corpusloom.operators.segment import segment_chunks, structural_contexts, type_sample
 
 TIERS = {"type": "light", "scoring": "light"}
@@ -146,7 +145,7 @@ def completeness_prompts(matches: DataFrame, catalogue: DataFrame) -> DataFrame:
         catalogue, ["document_type"], ["pos"], ["name", "description", "importance"], "expected"
     )
     return _prompt(
-        items.join(bounded(expected), "document_type"),
+        items.join(expected, "document_type"),
         "completeness",
         'Judge how far each expectation is met. Give {"assessments": [{"expected_element_name", "classification", '
         '"description", "severity"}]}, classification complete or partial. ' + JSON_ONLY + "\n\nExpected:\n",

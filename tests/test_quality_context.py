@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from test_graph import ELS, RELS, els
 
 from corpusloom.model import MAX_SUGGESTIONS, type_schema
+from corpusloom.operators.context import budget_direct
 from corpusloom.operators import context as cx
 from corpusloom.operators import quality as ql
 from corpusloom.operators.constraints import check_constraints
@@ -147,3 +148,10 @@ def test_context_equals_the_sequential_rule(spark):
         assert sorted(i for (k, role, i) in chosen if k == q and role == "related") == related, q
         assert sorted(e[1:] for e in edges if e[0] == q) == kept, q
         assert totals.get(q) == (used if any_ else None)
+
+
+def test_direct_elements_are_not_cut_below_the_callers_limit(spark):
+    rows = [("q", "d", f"e{i}", i + 1, 2) for i in range(30)]
+    ranked = spark.createDataFrame(rows, "question_id string, document_id string, id string, rank int, tokens int")
+    assert budget_direct(ranked, 1000).count() == 30
+    assert budget_direct(ranked, 41).count() == 20
