@@ -128,7 +128,8 @@ def ingest(
 ) -> Ingested:
     """Validate, cut and describe `files(document_id, filename, length, content)`.
 
-    Text of paged files is given in `pages(document_id, page, text)`; those with almost no text are marked failed.
+    Text of paged files is given in `pages(document_id, page, text)`; those with almost no text, or no row there, are
+    marked failed.
     `settle` may store the chunks, so that languages are read from the stored table and files are not cut twice.
     """
     checked = validate_files(files)
@@ -136,13 +137,13 @@ def ingest(
     docs = checked.accepted.select(
         "document_id", route_format("filename").alias("format"), F.col("content").cast("string").alias("text")
     )
-    failures = None
+    unread = records.where(F.col("format") == "pdf").select("document_id")
     if pages is not None:
-        paged = records.where(F.col("format") == "pdf").select("document_id")
-        pages = pages.join(paged, "document_id", "left_semi")
-        scanned = segment.scanned_documents(pages, SCANNED_BELOW_CHARS).where("scanned")
-        failures = scanned.select("document_id", F.lit(SCANNED_MESSAGE).alias("error_message"))
-        pages = pages.join(scanned, "document_id", "left_anti")
+        pages = pages.join(unread, "document_id", "left_semi")
+        readable = segment.scanned_documents(pages, SCANNED_BELOW_CHARS).where(~F.col("scanned"))
+        pages = pages.join(readable, "document_id", "left_semi")
+        unread = unread.join(readable, "document_id", "left_anti")
+    failures = unread.select("document_id", F.lit(SCANNED_MESSAGE).alias("error_message"))
     chunks = chunk_by_format(docs.where(F.col("format") != "pdf"), pages, registry)
     if settle is not None:
         chunks = settle(chunks)

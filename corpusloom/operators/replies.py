@@ -25,6 +25,7 @@ from corpusloom.model import (
     SEVERITIES,
     SUGGESTION_CATEGORIES,
 )
+from corpusloom.session import REPLY_SETTINGS
 
 SEGMENT_STRIDE = 1_000_000_000
 
@@ -64,7 +65,9 @@ class ParsedAnswers(NamedTuple):
 
 
 def of_step(responses: DataFrame, step: str) -> DataFrame:
-    """Replies of one step (calls that failed have no content)."""
+    """Replies of one step (calls that failed have no content); their parser is told here how to take repeated keys."""
+    for name, value in REPLY_SETTINGS.items():
+        responses.sparkSession.conf.set(name, value)
     return responses.where((F.col("step") == step) & F.col("content").isNotNull())
 
 

@@ -194,6 +194,12 @@ def type_sample(chunks: DataFrame) -> DataFrame:
     return head.groupBy("document_id").agg(taken.alias("sample"))
 
 
+def long_documents(chunks: DataFrame, limit: int = SEGMENT_CHARS) -> DataFrame:
+    """Ids of documents whose joined text is longer than `limit`, from chunk lengths only."""
+    joined = F.sum(F.length("text")) + F.count("*") - 1
+    return chunks.groupBy("document_id").agg(joined.alias("_total")).where(F.col("_total") > limit).select("document_id")
+
+
 def segment_chunks(chunks: DataFrame, limit: int = SEGMENT_CHARS) -> DataFrame:
     """Add `segment`: 0 while the joined text fits `limit`, else whole chunks packed greedily in order.
 

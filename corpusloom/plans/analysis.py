@@ -12,10 +12,10 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.model import PROMPT_VERSIONS, TEMPERATURE
+from corpusloom.model import PROMPT_VERSIONS, SEGMENT_CHARS, TEMPERATURE
 from corpusloom.operators import context as ctx
 from corpusloom.operators import evidence, graph, quality, replies
-from corpusloom.operators.segment import segment_chunks
+from corpusloom.operators.segment import long_documents
 from corpusloom.plans import completion, prompts
 from corpusloom.session import materialize
 
@@ -48,9 +48,14 @@ class Answered(NamedTuple):
     failures: DataFrame
 
 
-def merge_segments(elements: DataFrame, relations: DataFrame, chunks: DataFrame) -> graph.Graph:
-    """Elements of all segments in order; documents cut into segments lose repeated (name, type)."""
-    cut = segment_chunks(chunks).where(F.col("segment") > 0).select("document_id").distinct()
+def merge_segments(
+    elements: DataFrame, relations: DataFrame, chunks: DataFrame, limit: int = SEGMENT_CHARS
+) -> graph.Graph:
+    """Elements of all segments in order; documents over the segment size lose repeated (name, type).
+
+    What counts is the joined text: the pieces of such a document may still fit one segment.
+    """
+    cut = long_documents(chunks, limit)
     whole = elements.join(cut, "document_id", "left_anti")
     parts = graph.dedupe_elements(elements.join(cut, "document_id", "left_semi"), relations)
     whole_edges = relations.join(cut, "document_id", "left_anti")

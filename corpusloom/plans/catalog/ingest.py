@@ -390,7 +390,7 @@ def ingest_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT format, status, count(*) AS documents FROM (SELECT CASE doc_id % 5 WHEN 0 THEN 'markdown' WHEN 1 THEN 'plain_text' WHEN 2 THEN 'pdf' END AS format,
-    CASE WHEN doc_id % 5 > 2 THEN 'rejected' WHEN doc_id % 5 = 2 AND (SELECT sum(length(text)) FROM pg WHERE pg.document_id = fl.document_id) < 50
+    CASE WHEN doc_id % 5 > 2 THEN 'rejected' WHEN doc_id % 5 = 2 AND coalesce((SELECT sum(length(text)) FROM pg WHERE pg.document_id = fl.document_id), 0) < 50
     THEN 'failed' ELSE 'ready' END AS status FROM fl) GROUP BY format, status""")
 def ingest_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All formats at once, page text standing in for paged files."""

@@ -8,6 +8,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# In a JSON object that repeats a key, the last one counts.
+REPLY_SETTINGS = {"spark.sql.variant.allowDuplicateKeys": "true"}
+
 # Settings a job should run with. Skew handling (also where it costs one more shuffle) and
 # partition coalescing are left to adaptive execution; the group-limit
 # threshold is raised so that the token-budget prefix (at most one row per budget token) is cut before its shuffle.
@@ -18,6 +21,7 @@ SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.optimizer.windowGroupLimitThreshold": "200000",
+    **REPLY_SETTINGS,
     "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
 }
 

@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from corpusloom.model import DEFAULT_RETENTION_SECONDS, FILES
 from corpusloom.operators.ingest import ingest
-from corpusloom.sources.files import with_names
+from corpusloom.sources.files import load_files, with_names
 from corpusloom.sources.tables import bucket
 
 
@@ -16,7 +16,7 @@ def file_stream(spark: SparkSession, path: str, per_trigger: int | None = None)
     reader = spark.readStream.format("binaryFile").schema(FILES).option("recursiveFileLookup", "true")
     if per_trigger is not None:
         reader = reader.option("maxFilesPerTrigger", per_trigger)
-    return with_names(reader.load(path))
+    return with_names(load_files(reader, path))
 
 
 def ingest_stream(
@@ -27,11 +27,13 @@ def ingest_stream(
     retention: int = DEFAULT_RETENTION_SECONDS,
     per_trigger: int | None = None,
     available_now: bool = True,
+    pages: DataFrame | None = None,
 ) -> StreamingQuery:
     """Ingest arriving files into tables under `out`.
 
     Each micro-batch replaces its own `batch` partition, so that a batch replayed after a failure leaves no copies. The file
-    time stands for the upload time.
+    time stands for the upload time. `pages(document_id, page, text)` is a stored table, read anew with each batch; a paged
+    file without rows there is marked failed.
     """
 
     def store(df: DataFrame, name: str, batch: int) -> DataFrame:
@@ -42,7 +44,7 @@ def ingest_stream(
 
     def write(files: DataFrame, batch: int) -> None:
         now = F.lit(None).cast("timestamp")
-        done = ingest(files, now, retention=retention, settle=lambda chunks: store(chunks, "chunks", batch))
+        done = ingest(files, now, pages, retention, settle=lambda chunks: store(chunks, "chunks", batch))
         times = files.select("document_id", F.col("modificationTime").alias("upload_timestamp"))
         records = done.documents.drop("upload_timestamp", "expires_at").join(times, "document_id")
         expiry = F.col("upload_timestamp") + F.make_interval(secs=F.lit(retention))

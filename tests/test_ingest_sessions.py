@@ -74,6 +74,23 @@ def test_ingest_all_formats(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(bucket" in plan
 
 
+def test_paged_files_without_page_text_fail(spark):
+    files = spark.createDataFrame([("p", "p.pdf", 4, b"%PDF"), ("t", "t.txt", 1, b"x")], "document_id string, filename string, length long, content binary")
+    none = spark.createDataFrame([], "document_id string, page int, text string")
+    for pages in (None, none):
+        done = ing.ingest(files, now(), pages=pages)
+        assert rows(done.documents, "document_id", "status", "error_message") == [("p", "failed", ing.SCANNED_MESSAGE), ("t", "ready", None)]
+
+
+def test_an_over_long_file_is_rejected_unread(spark, tmp_path):
+    with open(tmp_path / "big.pdf", "wb") as f:
+        f.truncate(3 * 2**30)  # sparse, and beyond what Spark loads into a row
+    (tmp_path / "a.md").write_bytes(b"# T\nx")
+    done = ing.ingest(scan_files(spark, str(tmp_path)), now())
+    assert rows(done.rejected, "filename", "error_code") == [("big.pdf", "file_too_large")]
+    assert rows(done.documents, "original_filename", "status") == [("a.md", "ready")]
+
+
 def test_own_reader(spark):
     docs = spark.createDataFrame([("a", "markdown", "x")], "document_id string, format string, text string")
     mine = ing.readers() | {"markdown": lambda d: ing.segment.chunk_plaintext(d)}

@@ -22,6 +22,16 @@ ELEMENTS = [
 REF = {"chunk_id": "chunk-000", "evidence": "The portal lets staff"}
 
 
+def test_a_document_over_the_limit_in_one_segment_is_still_deduplicated(spark):
+    """Three pieces of ten characters join to 32, over the limit of 31, yet their sizes add up to 30."""
+    chunks = spark.createDataFrame([(d, i, "x" * n) for d, n in (("over", 10), ("under", 9)) for i in range(3)], "document_id string, order int, text string")
+    data = [(d, f"e{i}", i, "actor", "Staff", "c") for d in ("over", "under") for i in range(2)]
+    elements = spark.createDataFrame(data, "document_id string, id string, pos long, type string, name string, content string")
+    edges = spark.createDataFrame([], "document_id string, source_id string, target_id string, type string, description string, element_pos long")
+    out = analysis.merge_segments(elements, edges, chunks, limit=31).elements
+    assert rows(out, "document_id", "id") == [("over", "e0"), ("under", "e0"), ("under", "e1")]
+
+
 def scripted():
     """Made inside a function, so that it travels to the workers by value."""
 

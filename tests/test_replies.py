@@ -39,6 +39,12 @@ def test_strict_json_equals_the_standard_parser(spark):
     assert wrong == []
 
 
+def test_the_last_of_repeated_keys_counts(spark):
+    element = '{"id": "a", "id": "b", "type": "actor", "name": "n", "content": "c"}'
+    out = rs.parse_elements(replies(spark, "extraction", '{"elements": 1, "elements": [' + element + "]}"))
+    assert [r.id for r in out.elements.collect()] == ["b"] and out.failures.count() == 0
+
+
 @pytest.mark.parametrize(
     "dialect, text, want",
     [
