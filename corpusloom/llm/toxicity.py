@@ -133,7 +133,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, text: str, doc_id: str, la
     draw = F.pmod(F.xxhash64(F.lit("toxicity"), F.col("id")), F.lit(1_000_000))
     chosen = known.where(draw < F.when(F.col("toxic") == 1, share[1] * 1e6).otherwise(share[0] * 1e6))
     rows = docs.select(col(doc_id).alias("id"), col(text).cast("string").alias("text")).where("text IS NOT NULL")
-    return rows.join(chosen, "id").select("text", "toxic", _fold(F.col("id")).cast("int").alias("fold"))
+    # The draw holds about max_toxic + max_clean ids whatever the size of the corpus, so ids travel and texts stay.
+    return rows.join(F.broadcast(chosen), "id").select("text", "toxic", _fold(F.col("id")).cast("int").alias("fold"))
 
 
 def fit(
