@@ -91,6 +91,18 @@ def test_an_over_long_file_is_rejected_unread(spark, tmp_path):
     assert rows(done.documents, "original_filename", "status") == [("a.md", "ready")]
 
 
+def test_the_stream_reads_page_text_and_fails_files_without_it(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name in ("a.pdf", "b.pdf"):
+        (tmp_path / "in" / name).write_bytes(b"%PDF" + name.encode())
+    ids = {r.filename: r.document_id for r in scan_files(spark, str(tmp_path / "in")).collect()}
+    pages = spark.createDataFrame([(ids["a.pdf"], 1, "page text " * 10)], "document_id string, page int, text string")
+    out = str(tmp_path / "out")
+    arrivals.ingest_stream(spark, str(tmp_path / "in"), out, str(tmp_path / "progress"), pages=pages).awaitTermination()
+    done = spark.read.parquet(f"{out}/documents")
+    assert rows(done, "original_filename", "status") == [("a.pdf", "ready"), ("b.pdf", "failed")]
+
+
 def test_own_reader(spark):
     docs = spark.createDataFrame([("a", "markdown", "x")], "document_id string, format string, text string")
     mine = ing.readers() | {"markdown": lambda d: ing.segment.chunk_plaintext(d)}
