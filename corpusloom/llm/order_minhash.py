@@ -6,8 +6,8 @@ keeps them in text order; texts that agree on any such tuple are candidates. Tex
 seldom agree, which makes the sketch follow edit similarity. A text of one to four words is one k-mer.
 
 Candidates are aligned: two texts are linked if at least 0.8 of the longer one's words survive, that is, if the word
-edit distance is at most 0.2 of the longer length. Alignment keeps, for each diagonal inside the band this bound leaves,
-the furthest point reached with a given number of edits.
+edit distance is at most 0.2 of the longer length. Alignment fills the band of diagonals this bound leaves, one word and a
+whole column of the band at a time, the column's differences being the bits of two numbers.
 
 Groups: equal texts collapse to one before anything is compared. In a bucket every text is compared with the bucket's
 leader, the text that shares most buckets with others, which is linear; the links are joined into components, and texts of
@@ -22,8 +22,6 @@ Null and wordless texts match nothing.
 
 from __future__ import annotations
 
-from bisect import bisect_left
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -90,12 +88,17 @@ def labelled(values: np.ndarray) -> np.ndarray:
 
 def sketch(values: np.ndarray, picks: int = PICKS) -> np.ndarray:
     """One 64-bit tuple hash per hash function."""
-    ranks = mix(values[:, None] * MULTIPLIERS[None, :])
     if len(values) > picks:
-        spots = np.sort(np.argpartition(ranks, picks - 1, axis=0)[:picks], axis=0)
+        ranks = mix(MULTIPLIERS[:, None] * values[None, :])
+        rows = np.arange(SKETCHES)
+        spots = np.empty((picks, SKETCHES), dtype=np.int64)
+        for i in range(picks):
+            spots[i] = ranks.argmin(axis=1)
+            ranks[rows, spots[i]] = np.uint64(2**64 - 1)
+        spots = np.sort(spots, axis=0)
     else:
-        spots = np.repeat(np.arange(len(values))[:, None], len(MULTIPLIERS), axis=1)
-    out = np.zeros(len(MULTIPLIERS), dtype=np.uint64)
+        spots = np.repeat(np.arange(len(values))[:, None], SKETCHES, axis=1)
+    out = np.zeros(SKETCHES, dtype=np.uint64)
     for row in values[spots]:
         out = mix(out * np.uint64(0x100000001B3) + row)
     return out
@@ -148,7 +151,11 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def edits_within(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
-    """Word edit distance, or None if it is over `most`: furthest reach per diagonal in a band of `most` to each side."""
+    """Word edit distance, or None if it is over `most`.
+
+    Only cells up to `most` diagonals to each side are filled, a column at a time. A column's steps down (+1 or -1) are
+    the bits of two numbers, `up` and `down`; bit t stands for row column - most + t. Rows before the first match nothing.
+    """
     same = min(len(a), len(b))
     head = np.flatnonzero(a[:same] != b[:same])
     cut = int(head[0]) if len(head) else same
@@ -156,43 +163,48 @@ def edits_within(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
     same = min(len(a), len(b))
     tail = np.flatnonzero(a[len(a) - same :][::-1] != b[len(b) - same :][::-1])
     cut = int(tail[0]) if len(tail) else same
-    a, b = a[: len(a) - cut], b[: len(b) - cut]
+    a, b = sorted((a[: len(a) - cut].tolist(), b[: len(b) - cut].tolist()), key=len, reverse=True)
     n, m = len(a), len(b)
-    if n == 0 or m == 0:
-        return max(n, m) if max(n, m) <= most else None
-    if abs(n - m) > most:
-        return None
-    breaks: dict[int, list[int]] = {}  # per diagonal: places of a whose word differs, the end last
-
-    def slide(diagonal: int, i: int) -> int:
-        stops = breaks.get(diagonal)
-        if stops is None:
-            low, high = max(0, -diagonal), min(n, m - diagonal)
-            stops = (np.flatnonzero(a[low:high] != b[low + diagonal : high + diagonal]) + low).tolist() + [high]
-            breaks[diagonal] = stops
-        return stops[bisect_left(stops, i)]
-
-    reach = {0: slide(0, 0)}
-    goal = m - n
-    if reach.get(goal) == n:
-        return 0
-    for edits in range(1, most + 1):
-        step: dict[int, int] = {}
-        # a diagonal that cannot come back to the goal within the remaining edits is outside the band
-        for diagonal in range(max(-edits, -n, goal - (most - edits)), min(edits, m, goal + (most - edits)) + 1):
-            i = max(
-                reach.get(diagonal, -2) + 1,
-                reach.get(diagonal + 1, -2) + 1,
-                reach.get(diagonal - 1, -1),
-            )
-            i = min(i, n, m - diagonal)
-            if i < 0 or i + diagonal < 0:
-                continue
-            step[diagonal] = slide(diagonal, i)
-        if step.get(goal) == n:
-            return edits
-        reach = step
-    return None
+    if m == 0 or n - m > most:
+        return n if n <= most else None
+    most = min(most, n)
+    width = 2 * most + 1
+    full, lowest = (1 << width) - 1, 1 << (width - 1)
+    seen: dict[int, tuple[int, int]] = {}  # per word: a row, and its occurrences from that row on as bits
+
+    def enter(row: int) -> None:
+        base, bits = seen.get(a[row], (row, 0))
+        seen[a[row]] = base, bits | 1 << (row - base)
+
+    for row in range(most):
+        enter(row)
+    up, down = full ^ ((1 << most) - 1), 0
+    distance = most
+    for column, word in enumerate(b):
+        row = column + most
+        if row < n:
+            enter(row)
+        matches = 0
+        if word in seen:
+            base, matches = seen[word]
+            shift = base - column + most
+            if shift < 0:
+                matches >>= -shift
+                seen[word] = column - most, matches
+            else:
+                matches <<= shift
+        level = ((((matches & up) + up) ^ up) | matches | down) & full  # the diagonal step costs nothing
+        right, left = down | (full ^ (level | up)), level & up
+        if row < n:
+            distance += not level & lowest
+            if distance > 2 * most - (n - m):
+                return None
+        else:
+            last = n - 1 - column + most
+            distance += (right >> last & 1) - (left >> last & 1)
+        shifted = level >> 1
+        up, down = left | (full ^ (shifted | right)), shifted & right
+    return distance if distance <= most else None
 
 
 def similar(a: list[bytes], b: list[bytes], threshold: float = SIMILARITY) -> bool:
