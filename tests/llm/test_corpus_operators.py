@@ -3,6 +3,7 @@
 import collections
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,6 +121,10 @@ def test_edit_bound_equals_plain_distance():
             b[i : i + draw.randint(0, 1)] = [b"%d" % draw.randrange(20)] * draw.randint(0, 1) or b[i : i + 1]
         limit = int(0.2 * max(len(a), len(b)) + 1e-9)
         assert order_minhash.similar(a, b) == (plain(a, b) <= limit)
+        most = draw.randint(0, 12)
+        codes = [np.array([int(w) for w in x], dtype=np.int64) for x in (a, b)]
+        found = order_minhash.edits_within(*codes, most)
+        assert found == (plain(a, b) if plain(a, b) <= most else None)
 
 
 def test_hot_bucket_keeps_links_across_leaders(spark):
