@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pandas as pd
@@ -51,18 +52,26 @@ def _call(fn: Model, tiers: Tiers, tier: str, prompt: str) -> tuple[str | None,
         return None, model, f"{type(e).__name__}: {e}"
 
 
-def complete(prompts: DataFrame, fn: Model, tiers: Tiers = Tiers()) -> DataFrame:
-    """Responses table for a prompt table. Store it (`session.materialize`) before using it twice."""
+def complete(
+    prompts: DataFrame, fn: Model, tiers: Tiers = Tiers(), partitions: int | None = None, concurrency: int = 1
+) -> DataFrame:
+    """Responses table for a prompt table. Store it (`session.materialize`) before using it twice.
+
+    `partitions` deals the prompts out by key, so that a small table of slow calls does not end up in one task;
+    `concurrency` calls run at a time in a task, for which `fn` must be safe to call from threads.
+    """
     keys = ["document_id", "step", "segment", "question_id", "attempt", "prompt_version"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            replies = [_call(fn, tiers, t, p) for t, p in zip(batch["tier"], batch["prompt"])]
-            yield batch[keys].assign(
-                content=[r[0] for r in replies], model_id=[r[1] for r in replies], error=[r[2] for r in replies]
-            )
-
-    return prompts.mapInPandas(run, RESPONSES)
+        with ThreadPoolExecutor(concurrency) as pool:
+            for batch in batches:
+                replies = list(pool.map(lambda tier, prompt: _call(fn, tiers, tier, prompt), batch["tier"], batch["prompt"]))
+                yield batch[keys].assign(
+                    content=[r[0] for r in replies], model_id=[r[1] for r in replies], error=[r[2] for r in replies]
+                )
+
+    dealt = prompts if partitions is None else prompts.repartition(partitions, *keys)
+    return dealt.mapInPandas(run, RESPONSES)
 
 
 def corrective_prompts(prompts: DataFrame, failures: DataFrame) -> DataFrame:
