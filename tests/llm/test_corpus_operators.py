@@ -198,6 +198,31 @@ def test_substring_dedup_fuzzy_and_awkward(spark):
     assert substring_dedup.repeated_passages(frame(spark, [])).count() == 0
 
 
+def test_substring_dedup_finds_exact_copies_with_partial_earlier_holders(spark):
+    """Earlier documents hold parts of each passage, so that its seeds point to several first holders."""
+    draw = random.Random(11)
+    new = lambda n: [f"v{draw.randrange(10**9)}" for _ in range(n)]
+    rows = []
+    for i in range(60):
+        passage = new(50 + i % 4)
+        parts = [passage[:26], passage[13:39], passage[24:]] if i % 2 else [passage[: 30 + i % 3]]
+        texts = [new(20) + p + new(20) for p in parts] + [new(30) + passage + new(30) for _ in range(2)]
+        rows += [(10 * i + k, " ".join(t)) for k, t in enumerate(texts)]
+    first, due = {}, collections.defaultdict(set)
+    for d, text in rows:
+        words = text.split()
+        for s in range(len(words) - 49):
+            if first.setdefault(tuple(words[s : s + 50]), d) != d:
+                due[d].update(range(s, s + 50))
+    got = collections.defaultdict(set)
+    texts = {d: t.split() for d, t in rows}
+    for r in substring_dedup.repeated_passages(frame(spark, rows)).collect():
+        got[r.doc_id].update(range(r.start, r.end))
+        assert r.source_id < r.doc_id and r.end - r.start >= 50
+        assert r.similarity < 1 or texts[r.doc_id][r.start : r.end] == texts[r.source_id][r.source_start : r.source_end]
+    assert len(due) == 60 and all(places <= got[d] for d, places in due.items())
+
+
 def test_chain_prefers_the_ascending_run():
     import numpy as np
 
