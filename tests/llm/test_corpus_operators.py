@@ -223,6 +223,27 @@ def test_substring_dedup_finds_exact_copies_with_partial_earlier_holders(spark):
     assert len(due) == 60 and all(places <= got[d] for d, places in due.items())
 
 
+def test_substring_dedup_recall_of_edited_copies(spark):
+    """Copies with scattered changed, added and missing words among unrelated text, down to a similarity of 0.8."""
+    draw = random.Random(17)
+    new = lambda n: [f"v{draw.randrange(10**9)}" for _ in range(n)]
+    rows, due = [], collections.defaultdict(set)
+    for i in range(400):
+        size, edits, kinds = draw.choice([(51, 1), (51, 3), (51, 5), (51, 8), (60, 8), (60, 12), (80, 8)]) + (i % 2,)
+        passage = new(size)
+        copy = list(passage)
+        for at in sorted(draw.sample(range(1, size - 1), edits), reverse=True):
+            copy[at : at + 1] = draw.choice([new(1), new(1) + [copy[at]], []] if kinds else [new(1)])
+        if len(copy) >= 50:
+            rows += [(2 * i, " ".join(new(60) + passage + new(60))), (2 * i + 1, " ".join(new(60) + copy + new(60)))]
+            due[size, edits].add(2 * i + 1)
+    got = {r.doc_id for r in substring_dedup.repeated_passages(frame(spark, rows)).collect() if r.source_id == r.doc_id - 1}
+    lost = {case: (len(ids - got), len(ids)) for case, ids in sorted(due.items())}
+    print(lost)
+    assert sum(n for n, _ in lost.values()) <= 0.01 * len(rows) / 2
+    assert not any(lost[case][0] for case in ((51, 1), (51, 3), (51, 5), (80, 8)))
+
+
 def test_chain_prefers_the_ascending_run():
     import numpy as np
 
