@@ -11,11 +11,10 @@ whole column of the band at a time, the column's differences being the bits of t
 
 Groups: equal texts collapse to one before anything is compared. In a bucket every text is compared with the bucket's
 leader, the text that shares most buckets with others, which is linear; the links are joined into components, and texts of
-another component than the next leader are compared with that one, `ROUNDS` times in all. Then only texts of one bucket
-that are still in different components, of fitting length and with min-hash minima that a shingle similarity of 0.8 allows
-are compared with each other, so no link of that similarity is lost and a large group of copies is never paired within
-itself. Texts less alike in shingles, but within the edit bound, are linked where a leader joins them. Candidates are found surely enough where texts share most of their k-mers: at a
-shingle similarity of 0.8 a pair is missed with a probability below 1e-6, at 0.5 with about 0.04.
+another component than the next leader are compared with that one, `ROUNDS` times in all. Then all texts of one bucket
+that are still in different components and of fitting length are compared with each other, so no link between candidates is
+lost and a large group of copies is never paired within itself. Candidates are found surely enough where texts share most of
+their k-mers: at a shingle similarity of 0.8 a pair is missed with a probability below 1e-6, at 0.5 with about 0.04.
 
 Null and wordless texts match nothing.
 """
@@ -37,8 +36,6 @@ PICKS = 3
 SKETCHES = 24
 SIMILARITY = 0.8
 ROUNDS = 2
-BINS = 128
-LEAST_EQUAL = 79  # of 128 bins: at a shingle similarity of 0.8 a pair has fewer with a probability of about 1e-7
 
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 MULTIPLIERS = np.random.default_rng(20240601).integers(1, 2**63, size=SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -104,27 +101,8 @@ def sketch(values: np.ndarray, picks: int = PICKS) -> np.ndarray:
     return out
 
 
-def bin_minima(values: np.ndarray) -> np.ndarray:
-    """The least hash in each of 128 bins, as six bits and never 0 (0 stands for an empty bin), eight bins to a number."""
-    ordered = np.sort(mix(values ^ np.uint64(0x5851F42D4C957F2D)))
-    bins, first = np.unique(ordered >> np.uint64(57), return_index=True)
-    out = np.zeros(BINS, dtype=np.uint8)
-    out[bins.astype(np.int64)] = mix(ordered[first]) % np.uint64(63) + np.uint64(1)
-    return out.view("<i8")
-
-
-def equal_bins(left: str, right: str) -> Column:
-    """In how many bins two texts agree; bytes that differ reach bit 6 when 63 is added."""
-    fill, flag = int.from_bytes(b"\x3f" * 8, "little"), int.from_bytes(b"\x40" * 8, "little")
-    count = F.lit(BINS)
-    for i in range(BINS // 8):
-        differ = F.get(left, F.lit(i)).bitwiseXOR(F.get(right, F.lit(i))) + F.lit(fill)
-        count = count - F.bit_count(differ.bitwiseAND(F.lit(flag)))
-    return count
-
-
 def sketches(docs: DataFrame) -> DataFrame:
-    """docs (key, text) to (key, n_words, sketch, bins); wordless texts give no row."""
+    """docs (key, text) to (key, n_words, sketch); wordless texts give no row."""
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
         texts = [words_of(t) for t in part.column(1).to_pylist()]
@@ -141,12 +119,11 @@ def sketches(docs: DataFrame) -> DataFrame:
                 part.column(0).take(pa.array(rows, pa.int32())),
                 pa.array([len(texts[i]) for i in rows], pa.int32()),
                 lists([sketch(r).view(np.int64) for r in runs], SKETCHES),
-                lists([bin_minima(r) for r in runs], BINS // 8),
             ],
-            names=["key", "n_words", "sketch", "bins"],
+            names=["key", "n_words", "sketch"],
         )
 
-    schema = "key binary, n_words int, sketch array<bigint>, bins array<bigint>"
+    schema = "key binary, n_words int, sketch array<bigint>"
     return map_slices(docs.select("key", "text"), work, schema)
 
 
@@ -267,9 +244,7 @@ def near_duplicate_links(docs: DataFrame, threshold: float = SIMILARITY) -> Data
         more = stored(verify(led, texts, threshold), "links")
         links = more if links is None else links.unionByName(more)
         waiting = _unsettled(waiting, leaders, components(links, "a", "b"))
-    waiting = stored(waiting.join(made.select("key", "bins"), "key"), "waiting")
-    likely = (F.col("key") < F.col("key_b")) & (equal_bins("bins", "bins_b") >= LEAST_EQUAL)
-    rest = _pairs(waiting, waiting, likely, threshold)
+    rest = _pairs(waiting, waiting, F.col("key") < F.col("key_b"), threshold)
     return components(links.unionByName(stored(verify(rest, texts, threshold), "links")), "a", "b")
 
 

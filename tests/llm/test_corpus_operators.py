@@ -138,6 +138,28 @@ def test_hot_bucket_keeps_links_across_leaders(spark):
     assert got == {0}
 
 
+def test_hot_bucket_keeps_edited_pairs_behind_other_leaders(spark):
+    """Pairs of 7 % changed words, in buckets led by longer texts that hold one of the pair and are linked with neither."""
+    draw = random.Random(23)
+    new = lambda n: [f"v{draw.randrange(10**9)}" for _ in range(n)]
+    rows = []
+    for i in range(0, 2000, 100):
+        base = new(300)
+        copy = list(base)
+        for at in draw.sample(range(300), 21):
+            copy[at : at + 1] = new(1)
+        rows += [(i, " ".join(base)), (i + 1, " ".join(copy))]
+        for k in range(8):
+            longer = base + new(80)
+            rows += [(i + 10 + 3 * k + v, " ".join(longer[:-1] + new(1))) for v in range(3)]
+    got = {r.id: r.class_id for r in order_minhash.near_duplicates(frame(spark, rows)).collect()}
+    sketch = lambda text: order_minhash.sketch(order_minhash.labelled(order_minhash.kmers(order_minhash.hash_words([order_minhash.words_of(text)])[0], 5)))
+    texts = dict(rows)
+    met = [i for i in range(0, 2000, 100) if (sketch(texts[i]) == sketch(texts[i + 1])).any()]
+    assert len(met) > 15 and all(got[i + 1] == i for i in met)
+    assert all(got[i + 10] == i + 10 for i in met)
+
+
 def test_components(spark):
     draw = random.Random(3)
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(draw.randint(200, 300), draw.randint(200, 300)) for _ in range(60)]
