@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import chat_format, decontaminate, language_id, line_dedup, order_minhash, packing, quality, substring_dedup, token_counts, toxicity
+from corpusloom.llm import (
+    chat_format,
+    decontaminate,
+    language_id,
+    line_dedup,
+    order_minhash,
+    packing,
+    prefix_trie,
+    quality,
+    spelling,
+    substring_dedup,
+    token_counts,
+    toxicity,
+)
 from corpusloom.llm.common import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -161,3 +175,80 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language_id.fit(docs)
     done = language_id.identify(docs, model, doc_id=F.col("doc_id"))
     return done.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+# crc32 of a list of character codes, bit by bit.
+CRC = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {codes}), lambda c, x: list_reduce(
+    list_prepend(xor(c, x), [CAST(0 AS BIGINT), 0, 0, 0, 0, 0, 0, 0]), lambda r, z: xor(r >> 1, CASE WHEN r % 2 = 1 THEN 3988292384 ELSE z END))),
+    4294967295)"""
+
+
+def misspelt(doc_id: str, word: str) -> str:
+    """A spelling error in one of 199 words of a document, the same wherever it occurs there."""
+    h = zlib.crc32(f"{doc_id}:{word}".encode())
+    if h % 199:
+        return word
+    at = h % len(word)
+    return word[:at] + word[at + 1 :]
+
+
+LETTERS = "[A-Za-z\\x{00C0}-\\x{00FF}]+"
+RUN_CODES = """list_transform(range(1, octet_length(b) + 1), lambda i: CAST(('0x' || hex(b)[2 * i - 1:2 * i]) AS BIGINT))"""
+
+
+@query(rf"""
+WITH RECURSIVE r AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id,
+    unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{LETTERS}')) AS run FROM documents),
+g AS (SELECT id, run, count(*) AS n FROM r GROUP BY id, run),
+h AS (SELECT run, n, {CRC.format(codes=RUN_CODES)} AS h FROM (SELECT run, n, encode(id || ':' || run) AS b FROM g)),
+w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT CASE WHEN h % 199 <> 0 THEN run
+    ELSE substr(run, 1, CAST(h % len(run) AS BIGINT)) || substr(run, CAST(h % len(run) AS BIGINT) + 2) END AS word, n FROM h)
+    WHERE len(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+d AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, len(word) + 1)) AS i FROM w)),
+l AS (SELECT a.word, b.word AS near FROM d a JOIN d b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+    UNION SELECT word, rest FROM d WHERE rest IN (SELECT word FROM w) UNION SELECT rest, word FROM d WHERE rest IN (SELECT word FROM w)),
+m AS (SELECT l.word, count(*) AS n_near, arg_min(near, (-w.n, near)) AS form, max(w.n) AS form_n FROM l JOIN w ON w.word = l.near GROUP BY l.word),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 5 * n THEN form END AS form,
+    CASE WHEN form_n >= 5 * n THEN form_n END AS form_n FROM w LEFT JOIN m USING (word)),
+c AS (SELECT word, word AS root, form AS next FROM f UNION ALL SELECT c.word, f.word, f.form FROM c JOIN f ON f.word = c.next)
+SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n FROM f JOIN c ON c.word = f.word AND c.next IS NULL""")
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents, some of them misspelt, with their more frequent neighbours."""
+    return spelling.group_variants(table(spark, sf_dir, "documents"), change=misspelt)
+
+
+SHARED_TURNS = 9
+CONV_CODES = "list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))"
+
+
+def borrowed(conv_id: int) -> int:
+    """How many first turns a conversation takes from its block's first one."""
+    return zlib.crc32(b"%d" % conv_id) % SHARED_TURNS
+
+
+@query(f"""
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos,
+    coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+c AS (SELECT conv_id, {CRC.format(codes=CONV_CODES)} % {SHARED_TURNS} AS h FROM (SELECT DISTINCT conv_id FROM conversations)),
+r AS (SELECT c.conv_id, 0 AS own, pos, role, text FROM c JOIN t ON t.conv_id = c.conv_id - (c.conv_id % 5 + 5) % 5 AND pos <= h
+    UNION ALL SELECT c.conv_id, 1, pos, role, text FROM c JOIN t USING (conv_id) WHERE pos > h),
+w AS (SELECT conv_id, own, pos, strlen(text) AS size, md5(len(role) || ':' || role || text) AS id FROM r),
+s AS (SELECT conv_id, list(id ORDER BY own, pos) AS ids, list(size ORDER BY own, pos) AS sizes FROM w GROUP BY conv_id
+    UNION ALL SELECT conv_id, [], [] FROM c WHERE conv_id NOT IN (SELECT conv_id FROM w)),
+p AS (SELECT conv_id, d, len(ids) = d AS ends, array_to_string(ids[1:d], ',') AS path, array_to_string(ids[1:d - 1], ',') AS up,
+    CASE WHEN d > 0 THEN sizes[d] ELSE 0 END AS size FROM (SELECT *, unnest(range(0, len(ids) + 1)) AS d FROM s)),
+n AS (SELECT path, any_value(CASE WHEN d > 0 THEN up END) AS up, d, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(size) AS size,
+    string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends) AS ended FROM p GROUP BY path, d),
+k AS (SELECT up, d - 1 AS d, count(*) AS n FROM n WHERE d > 0 GROUP BY up, d),
+e AS (SELECT n.*, coalesce(k.n, 0) AS n_children FROM n LEFT JOIN k ON k.up = n.path AND k.d = n.d),
+a AS (SELECT path, d, a_d, array_to_string(string_split(path, ',')[1:a_d], ',') AS a_path, n_children, (n_convs - 1) * size AS saved
+    FROM (SELECT *, unnest(range(0, d + 1)) AS a_d FROM e)),
+b AS (SELECT a_path, a_d, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved) AS saved FROM a GROUP BY a_path, a_d)
+SELECT e.conv_id, e.d AS depth, u.conv_id AS parent_conv_id, e.n_convs, e.n_children, b.n_leaves,
+    CAST(b.saved AS BIGINT) AS saved_tokens, sha256(coalesce(e.ended, '')) AS ends_sha256
+FROM e JOIN b ON b.a_path = e.path AND b.a_d = e.d LEFT JOIN e u ON u.path = e.up AND u.d = e.d - 1""")
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all conversations, which share first turns by blocks of five."""
+    turns = prefix_trie.turn_digests(table(spark, sf_dir, "conversations"))
+    block = F.col("conv_id") - F.pmod("conv_id", F.lit(5))
+    return prefix_trie.trie(prefix_trie.paths(turns, block, borrowed))
