@@ -19,6 +19,7 @@ from corpusloom.llm import (
     quality,
     spelling,
     substring_dedup,
+    suffix_dedup,
     token_counts,
     toxicity,
 )
@@ -217,6 +218,13 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group_variants(table(spark, sf_dir, "documents"), change=misspelt)
 
 
+@query()
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the bytes of strings of 400 bytes that start twice."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.digest_columns(suffix_dedup.remove_repeats(docs))
+
+
 SHARED_TURNS = 9
 CONV_CODES = "list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))"
 
