@@ -158,6 +158,11 @@ def chunk_label(style: str, chunk: Column | str, page: Column | str, section: Co
     raise ValueError(f"unknown label style {style!r}")
 
 
+def owner_key(kind: str, *places: Column | str) -> Column:
+    """Names a row inside its document by what it is and where it stands, whatever id it came with."""
+    return F.concat_ws(":", F.lit(kind), *[_col(p).cast("string") for p in places])
+
+
 def stable_id(prefix: str, *keys: Column | str) -> Column:
     """Reproducible id from the row's key."""
     joined = F.concat_ws("\x1f", *[_col(k).cast("string") for k in keys])

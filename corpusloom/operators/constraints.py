@@ -11,6 +11,7 @@ from corpusloom.model import (
     ELEMENT_TYPES,
     FINDING_TYPES,
     MAX_ANSWER_CHARS,
+    MAX_ANSWER_REFS,
     MAX_DESCRIPTION_CHARS,
     MAX_EVIDENCE_CHARS,
     MAX_QUESTION_CHARS,
@@ -37,6 +38,7 @@ CONSTRAINTS = {
         "domain": {"category": SUGGESTION_CATEGORIES, "priority": SEVERITIES},
     },
     "answers": {"max_length": {"answer": MAX_ANSWER_CHARS}},
+    "nested_answers": {"max_length": {"answer": MAX_ANSWER_CHARS}, "max_items": {"source_refs": MAX_ANSWER_REFS}},
     "questions": {"max_length": {"question": MAX_QUESTION_CHARS}, "min_length": {"question": 1}},
 }
 
@@ -54,6 +56,8 @@ def check_constraints(df: DataFrame, rules: str | dict) -> Constrained:
         tests.append((F.length(column) <= limit, f"{column} too long"))
     for column, least in rules.get("min_length", {}).items():
         tests.append((F.length(column) >= least, f"{column} too short"))
+    for column, most in rules.get("max_items", {}).items():
+        tests.append((F.size(column) <= most, f"more than {most} {column}"))
     for column, domain in rules.get("domain", {}).items():
         tests.append((F.col(column).isin(domain), f"{column} not allowed"))
     reasons = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), text) for ok, text in tests]))

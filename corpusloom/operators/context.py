@@ -51,9 +51,11 @@ def relevant_elements(
     questions: DataFrame, elements: DataFrame, scores: DataFrame, unscored: DataFrame | None = None
 ) -> DataFrame:
     """The rows of `attach_scores` with a positive score, found from the score side: no question meets its whole document."""
-    positive = _last_scores(scores).where(F.col("score") > 0).join(questions.select(*Q), Q, "left_semi")
+    asked = scores.join(questions.select(*Q), Q, "left_semi")
     if unscored is not None:
-        positive = positive.join(unscored, Q, "left_anti")
+        asked = asked.join(unscored, Q, "left_anti")
+    # grouped by the question first, so that the joins' shuffle serves the aggregate too
+    positive = _last_scores(asked).where(F.col("score") > 0)
     rows = positive.join(elements, ["document_id", "id"])
     if unscored is None:
         return rows
@@ -137,6 +139,65 @@ def budget_relations(edges: DataFrame, included: DataFrame, budget: int) -> Data
     return _fit(rows, ["rank", *EDGE_ORDER], room, budget).drop("_used")
 
 
+NODE = ["id", "type", "name", "content", "source_ref", "verified", "tokens"]
+
+
+def _tagged(ranked: DataFrame, relations: DataFrame, elements: DataFrame) -> DataFrame:
+    """All rows a question's context is chosen from: its ranked elements, and their edges (`edge`) with the target element."""
+    both = F.explode(F.array(F.lit(False), F.lit(True))).alias("edge")
+    own = ranked.select(*Q, "rank", F.col("id").alias("source_id"), F.struct(*NODE).alias("_own"), both)
+    edges = relations.select(
+        "document_id", "source_id", "target_id", F.struct("type", "description", *EDGE_ORDER[:2]).alias("rel")
+    )
+    targets = with_tokens(elements).select("document_id", F.col("id").alias("target_id"), F.struct(*NODE).alias("_target"))
+    out = own.alias("o").join(
+        edges.alias("e"),
+        (F.col("o.document_id") == F.col("e.document_id")) & (F.col("o.source_id") == F.col("e.source_id")) & F.col("edge"),
+        "left",
+    )
+    out = out.select("o.*", "e.target_id", "e.rel").where("NOT edge OR target_id IS NOT NULL")
+    out = out.join(targets, ["document_id", "target_id"], "left").where("NOT edge OR _target IS NOT NULL")
+    tokens = relation_tokens(F.col("source_id"), F.col("target_id"), F.col("rel.type"), F.col("rel.description"))
+    node = F.when(F.col("edge"), F.col("_target")).otherwise(F.col("_own"))
+    return out.select(*Q, "rank", "edge", "source_id", "target_id", "rel", tokens.alias("rel_tokens"), node.alias("_n")).select(
+        "*", "_n.*"
+    ).drop("_n")
+
+
+def _spend(rows: DataFrame, budget: int) -> DataFrame:
+    """Spend a question's budget on ranked elements, then on their neighbours, then on edges between what is in.
+
+    Each phase stops at its first row that does not fit. Adds `direct`, `related` and `linked`: the row is in as a ranked
+    element, as a neighbour, as an edge. All windows lie within a question, so the rows are shuffled once.
+    """
+    line = lambda *order: Window.partitionBy(*Q).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    whole, node = Window.partitionBy(*Q), Window.partitionBy(*Q, "id")
+    zero = F.lit(0).cast("long")
+    edge_order = ["rel.element_pos", "rel.pos", "target_id"]
+
+    out = rows.withColumn("_sum", F.sum(F.when(~F.col("edge"), F.col("tokens"))).over(line("edge", "rank")))
+    out = out.withColumn("direct", ~F.col("edge") & (F.col("_sum") <= budget))
+    out = out.withColumn("_used", F.coalesce(F.max(F.when(F.col("direct"), F.col("_sum"))).over(whole), zero))
+    out = out.withColumn("_ranks", F.coalesce(F.max(F.when(F.col("direct"), F.col("rank"))).over(whole), F.lit(0)))
+
+    out = out.withColumn("_ranked", F.max(~F.col("edge")).over(node))
+    first = F.row_number().over(node.orderBy("edge", "rank", *edge_order)) == 1
+    out = out.withColumn("_hop", first & ~F.col("_ranked"))
+    hops = line(F.desc("_hop"), F.desc("verified"), "name", "id")
+    out = out.withColumn("_sum", F.col("_used") + F.sum(F.when(F.col("_hop"), F.col("tokens"))).over(hops))
+    out = out.withColumn("related", F.col("_hop") & (F.col("_sum") <= budget))
+    out = out.withColumn("_used", F.coalesce(F.max(F.when(F.col("related"), F.col("_sum"))).over(whole), "_used"))
+
+    inside = F.max(F.col("direct") | F.col("related")).over(node)
+    out = out.withColumn("_open", F.col("edge") & (F.col("rank") <= F.col("_ranks")) & inside)
+    repeats = Window.partitionBy(*Q, "_open", "source_id", "target_id", "rel.type").orderBy("rank", *edge_order)
+    out = out.withColumn("_open", F.col("_open") & (F.row_number().over(repeats) == 1))
+    edges = line(F.desc("_open"), "rank", *edge_order)
+    out = out.withColumn("_sum", F.col("_used") + F.sum(F.when(F.col("_open"), F.col("rel_tokens"))).over(edges))
+    out = out.withColumn("linked", F.col("_open") & (F.col("_sum") <= budget))
+    return out.drop("_sum", "_used", "_ranks", "_ranked", "_hop", "_open")
+
+
 def build_context(
     questions: DataFrame,
     elements: DataFrame,
@@ -149,34 +210,29 @@ def build_context(
 ) -> Context:
     """Context elements, relations and totals per question. Questions without a relevant element have no summary row.
 
-    `settle` may store the ranked and the chosen elements, which several later steps read.
+    `settle` may store the chosen rows, from which all three are read.
     """
     keep = (lambda df: df) if settle is None else settle
     budget = int(window_tokens * CONTEXT_RATIO)
-    ranked = keep(with_tokens(rank_relevant(relevant_elements(questions, elements, scores, unscored), limit)))
-    direct = budget_direct(ranked, budget)
-    related = with_tokens(one_hop(ranked, relations, elements))
-    hop = budget_relational(related, direct, budget)
-    shared = [*Q, "id", "type", "name", "content", "source_ref", "verified", "tokens"]
-    included = direct.select(*shared, F.lit("direct").alias("role"), F.col("rank").cast("long").alias("place")).unionByName(
-        hop.select(*shared, F.lit("related").alias("role"), F.lit(None).cast("long").alias("place"))
+    ranked = with_tokens(rank_relevant(relevant_elements(questions, elements, scores, unscored), limit))
+    spent = _spend(_tagged(ranked, relations, elements), budget)
+    chosen = keep(spent.where("NOT edge OR related OR linked"))
+    included = chosen.where("direct OR related").select(
+        *Q,
+        *NODE,
+        F.when(F.col("direct"), "direct").otherwise("related").alias("role"),
+        F.when(F.col("direct"), F.col("rank").cast("long")).alias("place"),
     )
-    included = keep(included)
-    edges = keep(budget_relations(context_relations(direct, relations, included), included, budget))
-    tokens = _used(included, edges)
-    flags = included.groupBy(*Q).agg(
-        F.bool_or(~F.col("verified")).alias("has_unverified_elements"), F.count("*").alias("element_count")
+    edges = chosen.where("linked").select(
+        *Q, "source_id", "target_id", "rel.type", "rank", "rel.description", *[f"rel.{c}" for c in EDGE_ORDER[:2]],
+        F.col("rel_tokens").alias("tokens"),
     )
-    relevant = ranked.select(*Q).distinct()
-    summary = (
-        relevant.join(tokens, Q, "left")
-        .join(flags, Q, "left")
-        .select(
-            *Q,
-            F.coalesce("_used", F.lit(0)).alias("total_tokens"),
-            F.coalesce("element_count", F.lit(0)).alias("element_count"),
-            F.coalesce("has_unverified_elements", F.lit(False)).alias("has_unverified_elements"),
-        )
+    is_in = F.col("direct") | F.col("related")
+    total = F.sum(F.when(is_in, F.col("tokens")).otherwise(0) + F.when(F.col("linked"), F.col("rel_tokens")).otherwise(0))
+    summary = chosen.groupBy(*Q).agg(
+        total.cast("long").alias("total_tokens"),
+        F.count_if(is_in).alias("element_count"),
+        F.bool_or(is_in & ~F.col("verified")).alias("has_unverified_elements"),
     )
     return Context(included, edges, summary)
 

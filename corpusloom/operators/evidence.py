@@ -1,8 +1,14 @@
 """Does quoted evidence occur in its document? Referenced chunk, any chunk, then a similar stretch of any chunk.
 
-References are first reduced to distinct (document, chunk, normalised evidence) keys, so copies cost nothing. Against all
-chunks of a document, evidence travels in batches: a chunk row meets one batch row, not one row per evidence, and large
-documents are cut into blocks of chunks and several batches, so that no document is one task's work.
+References are first reduced to distinct (document, chunk, normalised evidence) keys, so copies cost nothing. Evidence is
+looked for in all chunks of its document by fingerprints: a text's fingerprints are the least hashes of every `WINDOW`
+consecutive runs of `GRAM` characters, so a text that holds another one of `MEET` characters or more holds all its
+fingerprints. An evidence whose fingerprints are not all known in the document is nowhere; any other one is compared with
+one chunk that holds its rarest fingerprint, and only if that fails with the others.
+
+Shorter evidence, and the similarity step, meet every chunk of the document. There evidence travels in batches: a chunk row
+meets one batch row, not one row per evidence, and large documents are cut into blocks of chunks and several batches, so
+that no document is one task's work.
 """
 
 from __future__ import annotations
@@ -21,6 +27,9 @@ from corpusloom.model import SIMILARITY_THRESHOLD
 BATCH = 64
 CHUNK_BLOCK = 256
 COUNT_CELLS = 4_000_000
+# WINDOW is a power of two. A chunk's text is cut into pieces of about PIECE characters before it is hashed.
+GRAM, WINDOW, PIECE = 8, 32, 512
+MEET = GRAM + WINDOW - 1
 
 KEY = ["document_id", "chunk_id", "evidence"]
 
@@ -83,14 +92,85 @@ def _flag(keys: DataFrame, found: DataFrame, name: str) -> DataFrame:
     )
 
 
-def match_any_chunk(keys: DataFrame, chunks: DataFrame, unless: Column | None = None) -> DataFrame:
+def with_fingerprints(texts: DataFrame, text: str) -> DataFrame:
+    """Add `fingerprints`: the distinct least hashes of all windows of a text of at least `MEET` characters."""
+    grams = F.sequence(F.lit(1), F.length(text) - (GRAM - 1))
+    out = texts.withColumn("_hashes", F.transform(grams, lambda i: F.xxhash64(F.substring(F.col(text), i, GRAM))))
+    span = 1
+    while span < WINDOW:
+        reach = span
+        least = F.transform("_hashes", lambda h, i: F.least(h, F.get("_hashes", i + reach)))  # noqa: B023
+        out, span = out.withColumn("_hashes", least), span * 2
+    whole = F.slice("_hashes", 1, F.length(text) - (MEET - 1))
+    return out.withColumn("fingerprints", F.array_distinct(whole)).drop("_hashes")
+
+
+def _each_fingerprint() -> Column:
+    """One row each; there always is one. A plain `explode` would have its array tested for emptiness further down in the
+    plan, where the steps above are written out within each other, each twice."""
+    return F.explode_outer("fingerprints").alias("fingerprint")
+
+
+def chunk_fingerprints(chunks: DataFrame) -> DataFrame:
+    """(document_id, chunk_id, fingerprint) of all chunks, from overlapping pieces of their normalised texts."""
+    texts = chunks.select("document_id", "chunk_id", normalize_ws("text").alias("_text")).where(F.length("_text") >= MEET)
+    last = F.floor((F.length("_text") - MEET) / PIECE).cast("int")
+    piece = F.transform(F.sequence(F.lit(0), last), lambda p: F.substring(F.col("_text"), p * PIECE + 1, PIECE + MEET - 1))
+    pieces = texts.select("document_id", "chunk_id", F.explode(piece).alias("_piece"))
+    return with_fingerprints(pieces, "_piece").select(
+        "document_id", "chunk_id", _each_fingerprint()
+    )
+
+
+def _holding(places: DataFrame, chunks: DataFrame) -> DataFrame:
+    """`places(document_id, chunk_id, evidence)` with `held`: is the evidence in that chunk?"""
+    texts = chunks.select("document_id", "chunk_id", normalize_ws("text").alias("_text"))
+    return places.join(texts, ["document_id", "chunk_id"]).withColumn("held", F.contains("_text", "evidence")).drop("_text")
+
+
+def find_by_fingerprint(
+    texts: DataFrame, chunks: DataFrame, settle: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
+    """Those of `texts(document_id, evidence)`, distinct and of at least `MEET` characters, that some chunk holds."""
+    stored = (lambda df: df) if settle is None else settle
+    mark = ["document_id", "fingerprint"]
+    asked = with_fingerprints(texts, "evidence").select(
+        "document_id", "evidence", _each_fingerprint()
+    )
+    marks = chunk_fingerprints(chunks).join(asked.select(*mark).distinct(), mark, "left_semi")
+    marks = stored(marks.distinct())
+    known = marks.groupBy(*mark).agg(F.count("*").alias("_chunks"), F.min("chunk_id").alias("chunk_id"))
+    rarest = F.min(F.when(F.col("_chunks").isNotNull(), F.struct("_chunks", "fingerprint", "chunk_id"))).alias("_r")
+    found = (
+        asked.join(known, mark, "left")
+        .groupBy("document_id", "evidence")
+        .agg(F.count("*").alias("_asked"), F.count("_chunks").alias("_known"), rarest)
+        .where("_asked = _known")
+        .select("document_id", "evidence", "_r.*")
+    )
+    tried = stored(_holding(found, chunks))
+    # the fingerprint is in another chunk too: its first chunk alone does not decide
+    open_ = tried.where("NOT held AND _chunks > 1").select(*mark, "evidence", F.col("chunk_id").alias("_tried"))
+    others = open_.join(marks, mark).where("chunk_id != _tried").select("document_id", "chunk_id", "evidence")
+    hits = tried.where("held").select("document_id", "evidence")
+    return hits.unionByName(_holding(others, chunks).where("held").select("document_id", "evidence"))
+
+
+def match_any_chunk(
+    keys: DataFrame,
+    chunks: DataFrame,
+    unless: Column | None = None,
+    settle: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """Add `in_any`: the evidence is a substring of some chunk of the document. Rows where `unless` holds are not looked up."""
     open_keys = keys if unless is None else keys.where(~unless)
-    found = _chunk_batches(open_keys, chunks).select(
+    texts = open_keys.select("document_id", "evidence").distinct()
+    short = _chunk_batches(texts.where(F.length("evidence") < MEET), chunks).select(
         "document_id",
         F.explode(F.filter("evidences", lambda e: F.contains("_text", e))).alias("evidence"),
     )
-    return _flag(keys, found, "in_any")
+    long = find_by_fingerprint(texts.where(F.length("evidence") >= MEET), chunks, settle)
+    return _flag(keys, short.unionByName(long), "in_any")
 
 
 def _codes(text: str) -> np.ndarray:
@@ -218,7 +298,7 @@ def match_evidence(
     """
     stored = (lambda df: df) if settle is None else settle
     keys = stored(match_referenced_chunk(evidence_keys(refs), chunks))
-    keys = stored(match_any_chunk(keys, chunks, unless=F.col("in_own")))
+    keys = stored(match_any_chunk(keys, chunks, unless=F.col("in_own"), settle=settle))
     match = F.when(F.col("in_own"), "referenced").when(F.col("in_any"), "elsewhere")
     if fuzzy:
         keys = match_fuzzy(keys, chunks, threshold, unless=F.col("in_own") | F.col("in_any"))

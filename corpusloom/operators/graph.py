@@ -11,7 +11,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import normalize_ws, stable_id, strip, truncate
+from corpusloom.functions.text import normalize_ws, owner_key, stable_id, strip, truncate
 from corpusloom.model import ELEMENT_TYPES, MAX_DESCRIPTION_CHARS, MAX_EVIDENCE_CHARS
 
 EDGE_ORDER = ["element_pos", "pos", "target_id"]
@@ -166,6 +166,7 @@ def structural_contradictions(elements: DataFrame, relations: DataFrame) -> tupl
     base = joined.select(
         "document_id",
         stable_id("contra-struct-", "document_id", "source_id", "target_id").alias("finding_id"),
+        owner_key("edge", "element_pos", "pos").alias("owner"),
         F.array(F.lit(0), F.col("element_pos"), F.col("pos").cast("long")).alias("ord"),
         F.lit("contradiction").alias("type"),
         truncate(described, MAX_DESCRIPTION_CHARS).alias("description"),
@@ -178,10 +179,12 @@ def structural_contradictions(elements: DataFrame, relations: DataFrame) -> tupl
     )
     refs = base.select(
         "document_id",
+        "owner",
         F.col("finding_id").alias("owner_id"),
         F.posexplode("_refs").alias("ref_pos", "r"),
     ).select(
         "document_id",
+        "owner",
         "owner_id",
         "ref_pos",
         "r.chunk_id",

@@ -77,6 +77,12 @@ def check_chunks(chunks: DataFrame) -> DataFrame:
     )
 
 
+def chunk_failures(chunks: DataFrame) -> DataFrame:
+    """Documents whose reader numbered its chunks badly; their chunks are not shown, as the document is not ready."""
+    message = F.when(~F.col("sequential"), "Chunk ordering is not sequential.").otherwise("Duplicate chunk_id found.")
+    return check_chunks(chunks).where("NOT (sequential AND unique_ids)").select("document_id", message.alias("error_message"))
+
+
 def document_records(files: DataFrame, now: Column, retention: int = DEFAULT_RETENTION_SECONDS) -> DataFrame:
     """First record of an accepted file: `processing`, expiring `retention` seconds after `now`."""
     return files.select(
@@ -130,6 +136,7 @@ def ingest(
 
     Text of paged files is given in `pages(document_id, page, text)`; those with almost no text, or no row there, are
     marked failed.
+    A document whose reader leaves gaps in its chunks' order, or repeats an id, is marked failed too.
     `settle` may store the chunks, so that languages are read from the stored table and files are not cut twice.
     """
     checked = validate_files(files)
@@ -147,6 +154,7 @@ def ingest(
     chunks = chunk_by_format(docs.where(F.col("format") != "pdf"), pages, registry)
     if settle is not None:
         chunks = settle(chunks)
+    failures = failures.unionByName(chunk_failures(chunks))
     return Ingested(settle_documents(records, chunks, failures), chunks, checked.rejected)
 
 

@@ -1,15 +1,25 @@
 """Running values over an ordered key, in two levels.
 
-A plain window over a key sends all rows of that key to one task. Here rows are first cut into blocks of the ordering
-column; a task sees one block of one key, and only one row per block takes part in the pass over the whole key.
+A plain window over a key sends all rows of that key to one task. Here rows are first cut into blocks along the order; a
+task sees one block of one key, and only one row per block takes part in the pass over the whole key.
+
+`running_total` cuts blocks of an order that counts (pages, positions). `previous_value` takes any order, dense or not:
+its blocks are ranges of equal size, which a sample of the rows decides. So these are written once, to be the same for
+every reader.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corpusloom.session import materialize
+
+Settle = Callable[[DataFrame], DataFrame]
+
 BLOCK = 4096
 
 
@@ -32,9 +42,17 @@ def running_total(df: DataFrame, keys: list[str], order: str, value: Column, out
     )
 
 
-def previous_value(df: DataFrame, keys: list[str], order: str, value: str, out: str, block: int = BLOCK) -> DataFrame:
+def ranged(df: DataFrame, keys: list[str], order: str, settle: Settle | None = None) -> DataFrame:
+    """Rows with `_block`, the number of their range of (keys, order); ranges are of about equal size, whatever the keys."""
+    cut = df.repartitionByRange(*keys, order).withColumn("_block", F.spark_partition_id())
+    return materialize(cut, "ranges") if settle is None else settle(cut)
+
+
+def previous_value(
+    df: DataFrame, keys: list[str], order: str, value: str, out: str, settle: Settle | None = None
+) -> DataFrame:
     """Add `out` = `value` of the preceding row of the key, null for the first."""
-    rows = _with_block(df, order, block)
+    rows = ranged(df, keys, order, settle)
     lasts = rows.groupBy(*keys, "_block").agg(F.max_by(value, order).alias("_last"))
     carried = lasts.select(
         *keys, "_block", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_block")).alias("_carried")

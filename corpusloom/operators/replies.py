@@ -2,6 +2,9 @@
 
 Each reply is judged and read inside its own row; replies that break their contract come back as failure rows, never as
 an exception. Row shapes follow FIXTURES section 2.
+
+`judge` parses every reply once, whatever its step, and says whether it keeps its contract. Each parser takes the table of
+responses, or better the judged one, stored: elements, edges, references and failures are then read from the same rows.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import replies as R
-from corpusloom.functions.text import clamp_score, stable_id, strip
+from corpusloom.functions.text import clamp_score, owner_key, stable_id, strip
 from corpusloom.model import (
     DOCUMENT_TYPES,
     ELEMENT_TYPES,
@@ -65,9 +68,7 @@ class ParsedAnswers(NamedTuple):
 
 
 def of_step(responses: DataFrame, step: str) -> DataFrame:
-    """Replies of one step (calls that failed have no content); their parser is told here how to take repeated keys."""
-    for name, value in REPLY_SETTINGS.items():
-        responses.sparkSession.conf.set(name, value)
+    """Replies of one step (calls that failed have no content)."""
     return responses.where((F.col("step") == step) & F.col("content").isNotNull())
 
 
@@ -79,27 +80,60 @@ def _bound(rows: DataFrame, value: Column, name: str) -> DataFrame:
     return rows.select("*", F.explode(F.array(value)).alias(name))
 
 
-def _failed(rows: DataFrame, ok: Column, message: str, *keys: str) -> DataFrame:
-    return rows.where(~ok).select(*keys, F.lit(message).alias("error_message"))
+def _failed(rows: DataFrame, message: str, *keys: str) -> DataFrame:
+    return rows.where("NOT _ok").select(*keys, F.lit(message).alias("error_message"))
+
+
+def judge(responses: DataFrame) -> DataFrame:
+    """Responses with the parsed reply `_v`, its list of items `_items` and the verdict `_ok`.
+
+    The session must let the last of repeated keys count (`session.REPLY_SETTINGS`), as parsing would refuse them.
+    """
+    conf = responses.sparkSession.conf
+    for name, value in REPLY_SETTINGS.items():
+        if str(conf.get(name)).lower() != value:
+            raise ValueError(f"replies are read with {name}={value}; set it on the session")
+    step, plain = F.col("step"), strip("content")
+    fenced = lambda kind: R.strip_code_fence("content", kind)
+    text = F.when(step.isin("extraction", "scoring", "suggestion"), fenced("first_line"))
+    text = text.when(step == "ambiguity", fenced("json_prefix")).otherwise(plain)
+    value = F.when(step == "answer", R.answer_object("content")).otherwise(R.strict_json(text))
+    rows = _bound(responses, F.when(F.col("content").isNotNull(), value), "_v")
+    v, items = F.col("_v"), F.col("_items")
+
+    listed = F.try_variant_get(v, "$", "array<variant>")
+    found = F.when(step == "scoring", listed).when(step == "completeness", _assessments(v))
+    for name, field in LISTS.items():
+        found = found.when(step == name, R.items_at(v, field))
+    rows = _bound(rows, found, "_items")
+
+    ok = F.when(step == "type", v.isNull() | R.is_object(v)).when(step == "extraction", items.isNotNull())
+    for name, item_ok in ITEM_RULES.items():
+        ok = ok.when(step == name, R.all_items(items, item_ok))
+    ok = ok.when(step == "answer", _answer_ok(v))
+    return rows.withColumn("_ok", F.coalesce(F.col("content").isNotNull() & ok, F.lit(False)))
+
+
+def _judged(responses: DataFrame, step: str) -> DataFrame:
+    rows = of_step(responses, step)
+    return rows if "_ok" in responses.columns else judge(rows)
 
 
 def parse_types(responses: DataFrame) -> ParsedRows:
     """Type suggestions; unreadable, unknown and `generic` replies suggest `generic` without a type."""
-    v = R.strict_json(strip("content"))
-    rows = _bound(of_step(responses, "type"), v, "_v")
-    usable = F.col("_v").isNull() | R.is_object(F.col("_v"))
+    rows = _judged(responses, "type")
     named = F.when(R.is_text(F.col("_v"), "document_type"), R.text_at(F.col("_v"), "document_type"))
     known = F.coalesce(named.isin(DOCUMENT_TYPES), F.lit(False))
     given = F.coalesce(R.text_at(F.col("_v"), "justification"), F.lit(""))
     reason = F.when(F.col("_v").isNull(), UNPARSED_TYPE).when(~known & (given == ""), UNKNOWN_TYPE).otherwise(given)
     sure = known & (named != "generic")
-    parsed = rows.where(usable).select(
+    parsed = rows.where("_ok").select(
         "document_id",
         F.when(sure, named).alias("document_type"),
         F.when(sure, named).otherwise("generic").alias("suggested_type"),
         reason.alias("justification"),
     )
-    return ParsedRows(parsed, _failed(rows, usable, "Type reply is not a JSON object.", "document_id"))
+    return ParsedRows(parsed, _failed(rows, "Type reply is not a JSON object.", "document_id"))
 
 
 def _ref_fields(v: Column, default_chunk: str | None = None) -> list[Column]:
@@ -155,10 +189,8 @@ def parse_elements(responses: DataFrame) -> ParsedElements:
 
     A reply that is no JSON object with a list of elements fails its document; a bad element or edge is dropped alone.
     """
-    v = R.strict_json(R.strip_code_fence("content", "first_line"))
-    rows = _bound(of_step(responses, "extraction"), R.items_at(v, "elements"), "_items")
-    ok = F.col("_items").isNotNull()
-    each = rows.where(ok).select("document_id", "segment", F.posexplode("_items").alias("_i", "e"))
+    rows = _judged(responses, "extraction")
+    each = rows.where("_ok").select("document_id", "segment", F.posexplode("_items").alias("_i", "e"))
     good = each.where(F.coalesce(_element_ok(F.col("e")), F.lit(False)))
     e = F.col("e")
     pos = (F.coalesce("segment", F.lit(0)).cast("long") * SEGMENT_STRIDE + F.col("_i")).alias("pos")
@@ -184,24 +216,22 @@ def parse_elements(responses: DataFrame) -> ParsedElements:
         *[R.text_at(F.col("r"), n).alias(n) for n in ("target_id", "type", "description")],
     )
     message = "Complete parse failure: reply is not a JSON object with a list of elements."
-    return ParsedElements(elements, relations, _failed(rows, ok, message, "document_id").distinct())
+    return ParsedElements(elements, relations, _failed(rows, message, "document_id").distinct())
+
+
+def _score_ok(s: Column) -> Column:
+    number = R.kind(R.at(s, "score"))
+    numeric = number.isin("BIGINT", "DOUBLE", "BOOLEAN") | F.startswith(number, F.lit("DECIMAL"))
+    written = (number == "STRING") & F.trim(R.text_at(s, "score")).rlike(r"\A[+-]?\d+\z")
+    return R.is_object(s) & F.coalesce(numeric | written, F.lit(True))
 
 
 def parse_scores(responses: DataFrame, questions: DataFrame | None = None) -> ParsedScores:
     """Scores per question and element; questions whose reply (or call) failed are listed as unscored."""
     keys = ["question_id", "document_id"]
-    v = R.strict_json(R.strip_code_fence("content", "first_line"))
-    rows = _bound(of_step(responses, "scoring"), F.try_variant_get(v, "$", "array<variant>"), "_items")
-
-    def readable(s: Column) -> Column:
-        number = R.kind(R.at(s, "score"))
-        numeric = number.isin("BIGINT", "DOUBLE", "BOOLEAN") | F.startswith(number, F.lit("DECIMAL"))
-        written = (number == "STRING") & F.trim(R.text_at(s, "score")).rlike(r"\A[+-]?\d+\z")
-        return R.is_object(s) & F.coalesce(numeric | written, F.lit(True))
-
-    ok = R.all_items(F.col("_items"), readable)
+    rows = _judged(responses, "scoring")
     scores = (
-        rows.where(ok)
+        rows.where("_ok")
         .select(*keys, F.posexplode("_items").alias("pos", "s"))
         .select(
             *keys,
@@ -211,8 +241,8 @@ def parse_scores(responses: DataFrame, questions: DataFrame | None = None) -> Pa
         )
     )
     if questions is None:
-        return ParsedScores(scores, rows.where(~ok).select(*keys))
-    scored = rows.where(ok).select(*keys)
+        return ParsedScores(scores, rows.where("NOT _ok").select(*keys))
+    scored = rows.where("_ok").select(*keys)
     return ParsedScores(scores, questions.select(*keys).join(scored, keys, "left_anti"))
 
 
@@ -228,28 +258,28 @@ def _finding_columns(type_: str, description: Column, severity: Column, affected
     ]
 
 
-def parse_contradictions(responses: DataFrame) -> ParsedFindings:
-    """Model contradictions. One field out of shape or too long fails the reply; an unknown severity becomes medium."""
+def _contradiction_ok(f: Column) -> Column:
+    return (
+        R.is_object(f)
+        & R.is_text(f, "type")
+        & R.is_text(f, "description", MAX_DESCRIPTION_CHARS)
+        & R.is_text(f, "severity")
+        & R.is_text_list(f, "affected_element_ids")
+        & R.all_items(R.items_at(f, "source_refs"), lambda r: _ref_ok(r, MAX_EVIDENCE_CHARS))
+    )
 
-    def item_ok(f: Column) -> Column:
-        return (
-            R.is_object(f)
-            & R.is_text(f, "type")
-            & R.is_text(f, "description", MAX_DESCRIPTION_CHARS)
-            & R.is_text(f, "severity")
-            & R.is_text_list(f, "affected_element_ids")
-            & R.all_items(R.items_at(f, "source_refs"), lambda r: _ref_ok(r, MAX_EVIDENCE_CHARS))
-        )
 
-    rows = _bound(of_step(responses, "contradiction"), R.items_at(R.strict_json(strip("content")), "findings"), "_items")
-    ok = R.all_items(F.col("_items"), item_ok)
-    each = rows.where(ok).select("document_id", F.posexplode("_items").alias("_i", "f"))
-    each = each.withColumn("finding_id", stable_id("contra-llm-", "document_id", "_i"))
+def parse_contradictions(responses: DataFrame) -> ParsedFindings:
+    """Model contradictions. One field out of shape or too long fails the reply; an unknown severity becomes medium."""
+    rows = _judged(responses, "contradiction")
+    each = rows.where("_ok").select("document_id", F.posexplode("_items").alias("_i", "f"))
+    each = each.withColumns({"finding_id": stable_id("contra-llm-", "document_id", "_i"), "owner": owner_key("contradiction", "_i")})
     f = F.col("f")
     severity = R.text_at(f, "severity")
     findings = each.select(
         "document_id",
         "finding_id",
+        "owner",
         F.array(F.lit(1).cast("long"), F.col("_i").cast("long")).alias("ord"),
         *_finding_columns(
             "contradiction",
@@ -258,70 +288,74 @@ def parse_contradictions(responses: DataFrame) -> ParsedFindings:
             R.texts_at(f, "affected_element_ids"),
         ),
     )
-    refs = _refs(each, ["document_id"], F.col("finding_id"), R.items_at(f, "source_refs"))
-    return ParsedFindings(findings, refs, _failed(rows, ok, "Contradiction reply breaks its contract.", "document_id"))
+    refs = _refs(each, ["document_id", "owner"], F.col("finding_id"), R.items_at(f, "source_refs"))
+    return ParsedFindings(findings, refs, _failed(rows, "Contradiction reply breaks its contract.", "document_id"))
 
 
-def parse_ambiguities(responses: DataFrame) -> ParsedFindings:
-    """Ambiguities with exactly one reference each; an unknown severity fails the reply. Ids are kept as given."""
+def _ambiguity_ok(f: Column) -> Column:
+    return (
+        R.is_object(f)
+        & R.is_text(f, "id")
+        & R.is_text(f, "category")
+        & R.is_text(f, "description", MAX_DESCRIPTION_CHARS)
+        & R.is_text(f, "severity")
+        & R.text_at(f, "severity").isin(SEVERITIES)
+        & (~R.has(f, "affected_element_ids") | R.is_text_list(f, "affected_element_ids"))
+        & _ref_ok(R.at(f, "source_ref"), MAX_EVIDENCE_CHARS)
+    )
 
-    def item_ok(f: Column) -> Column:
-        return (
-            R.is_object(f)
-            & R.is_text(f, "id")
-            & R.is_text(f, "category")
-            & R.is_text(f, "description", MAX_DESCRIPTION_CHARS)
-            & R.is_text(f, "severity")
-            & R.text_at(f, "severity").isin(SEVERITIES)
-            & (~R.has(f, "affected_element_ids") | R.is_text_list(f, "affected_element_ids"))
-            & _ref_ok(R.at(f, "source_ref"), MAX_EVIDENCE_CHARS)
-        )
 
-    v = R.strict_json(R.strip_code_fence("content", "json_prefix"))
-    rows = _bound(of_step(responses, "ambiguity"), R.items_at(v, "ambiguities"), "_items")
-    ok = R.all_items(F.col("_items"), item_ok)
-    each = rows.where(ok).select("document_id", F.posexplode("_items").alias("_i", "f"))
+def parse_ambiguities(responses: DataFrame) -> ParsedFindings:
+    """Ambiguities with exactly one reference each; an unknown severity fails the reply. Ids are kept as given."""
+    rows = _judged(responses, "ambiguity")
+    each = rows.where("_ok").select("document_id", F.posexplode("_items").alias("_i", "f"))
+    each = each.withColumn("owner", owner_key("ambiguity", "_i"))
     f = F.col("f")
     findings = each.select(
         "document_id",
         R.text_at(f, "id").alias("finding_id"),
+        "owner",
         F.array(F.lit(2).cast("long"), F.col("_i").cast("long")).alias("ord"),
         *_finding_columns(
             "ambiguity", R.text_at(f, "description"), R.text_at(f, "severity"), R.texts_at(f, "affected_element_ids")
         ),
     )
-    refs = _refs(each, ["document_id"], R.text_at(f, "id"), F.array(R.at(f, "source_ref")))
-    return ParsedFindings(findings, refs, _failed(rows, ok, "Ambiguity reply breaks its contract.", "document_id"))
+    refs = _refs(each, ["document_id", "owner"], R.text_at(f, "id"), F.array(R.at(f, "source_ref")))
+    return ParsedFindings(findings, refs, _failed(rows, "Ambiguity reply breaks its contract.", "document_id"))
 
 
-def parse_partials(responses: DataFrame, documents: DataFrame) -> ParsedRows:
-    """Expectations the model calls partly covered. Text that is no JSON means none; a bad severity becomes medium."""
+def _assessments(v: Column) -> Column:
+    """The listed assessments; none where the reply is no JSON or does not list any, null where it is something else."""
+    none = F.array().cast("array<variant>")
+    listed = F.when(R.has(v, "assessments"), R.items_at(v, "assessments")).otherwise(none)
+    return F.when(v.isNull(), none).when(R.is_object(v), listed)
+
 
-    def item_ok(a: Column) -> Column:
-        return (
-            R.is_object(a)
-            & R.text_or_absent(a, "classification")
-            & (
-                (F.lower(F.coalesce(R.text_at(a, "classification"), F.lit(""))) != "partial")
-                | (R.text_or_absent(a, "expected_element_name") & R.text_or_absent(a, "description"))
-            )
+def _assessment_ok(a: Column) -> Column:
+    return (
+        R.is_object(a)
+        & R.text_or_absent(a, "classification")
+        & (
+            (F.lower(F.coalesce(R.text_at(a, "classification"), F.lit(""))) != "partial")
+            | (R.text_or_absent(a, "expected_element_name") & R.text_or_absent(a, "description"))
         )
+    )
 
-    rows = _bound(of_step(responses, "completeness"), R.strict_json(strip("content")), "_v")
-    none = F.array().cast("array<variant>")
-    listed = F.when(R.has(F.col("_v"), "assessments"), R.items_at(F.col("_v"), "assessments")).otherwise(none)
-    rows = _bound(rows, F.when(F.col("_v").isNull(), none).when(R.is_object(F.col("_v")), listed), "_items")
-    ok = R.all_items(F.col("_items"), item_ok)
+
+def parse_partials(responses: DataFrame, documents: DataFrame) -> ParsedRows:
+    """Expectations the model calls partly covered. Text that is no JSON means none; a bad severity becomes medium."""
+    rows = _judged(responses, "completeness")
     a = F.col("a")
     severity = F.when(R.has(a, "severity"), R.text_at(a, "severity")).otherwise("medium")
     partial = (
-        rows.where(ok)
+        rows.where("_ok")
         .select("document_id", F.posexplode("_items").alias("_i", "a"))
         .where(F.lower(R.text_at(a, "classification")) == "partial")
         .join(documents.select("document_id", "document_type"), "document_id")
         .select(
             "document_id",
             stable_id("miss-", "document_id", F.lit("partial"), "_i").alias("finding_id"),
+            owner_key("partial", "_i").alias("owner"),
             F.array(F.lit(1).cast("long"), F.col("_i").cast("long")).alias("ord"),
             F.lit("partial").alias("classification"),
             F.coalesce(R.text_at(a, "expected_element_name"), F.lit("unknown")).alias("expected_element"),
@@ -330,39 +364,36 @@ def parse_partials(responses: DataFrame, documents: DataFrame) -> ParsedRows:
             F.col("document_type").alias("schema_reference"),
         )
     )
-    return ParsedRows(partial, _failed(rows, ok, "Completeness reply breaks its contract.", "document_id"))
-
+    return ParsedRows(partial, _failed(rows, "Completeness reply breaks its contract.", "document_id"))
 
-def parse_suggestions(responses: DataFrame) -> ParsedFindings:
-    """Suggestions with defaults filled in; one invalid item fails the reply."""
 
-    def in_domain(s: Column, name: str, domain: list[str]) -> Column:
+def _suggestion_ok(s: Column) -> Column:
+    def in_domain(name: str, domain: list[str]) -> Column:
         return ~R.has(s, name) | (R.is_text(s, name) & R.text_at(s, name).isin(domain))
 
-    def item_ok(s: Column) -> Column:
-        refs = R.items_at(s, "source_refs")
-        return (
-            R.is_object(s)
-            & R.text_or_absent(s, "id")
-            & R.text_or_absent(s, "description", MAX_SUGGESTION_CHARS)
-            & in_domain(s, "category", SUGGESTION_CATEGORIES)
-            & in_domain(s, "priority", SEVERITIES)
-            & (~R.has(s, "related_finding_ids") | R.is_text_list(s, "related_finding_ids"))
-            & (
-                ~R.has(s, "source_refs")
-                | R.all_items(refs, lambda r: _ref_ok(r, MAX_EVIDENCE_CHARS, required=False))
-            )
-        )
+    refs = R.items_at(s, "source_refs")
+    return (
+        R.is_object(s)
+        & R.text_or_absent(s, "id")
+        & R.text_or_absent(s, "description", MAX_SUGGESTION_CHARS)
+        & in_domain("category", SUGGESTION_CATEGORIES)
+        & in_domain("priority", SEVERITIES)
+        & (~R.has(s, "related_finding_ids") | R.is_text_list(s, "related_finding_ids"))
+        & (~R.has(s, "source_refs") | R.all_items(refs, lambda r: _ref_ok(r, MAX_EVIDENCE_CHARS, required=False)))
+    )
+
 
-    v = R.strict_json(R.strip_code_fence("content", "first_line"))
-    rows = _bound(of_step(responses, "suggestion"), R.items_at(v, "suggestions"), "_items")
-    ok = R.all_items(F.col("_items"), item_ok)
+def parse_suggestions(responses: DataFrame) -> ParsedFindings:
+    """Suggestions with defaults filled in; one invalid item fails the reply."""
+    rows = _judged(responses, "suggestion")
     s = F.col("s")
-    each = rows.where(ok).select("document_id", F.posexplode("_items").alias("_i", "s"))
-    each = each.withColumn("suggestion_id", F.coalesce(R.text_at(s, "id"), stable_id("sug-", "document_id", "_i")))
+    each = rows.where("_ok").select("document_id", F.posexplode("_items").alias("_i", "s"))
+    named = F.coalesce(R.text_at(s, "id"), stable_id("sug-", "document_id", "_i"))
+    each = each.withColumns({"suggestion_id": named, "owner": owner_key("suggestion", "_i")})
     suggestions = each.select(
         "document_id",
         "suggestion_id",
+        "owner",
         F.col("_i").cast("long").alias("pos"),
         F.coalesce(R.text_at(s, "description"), F.lit("")).alias("description"),
         F.coalesce(R.text_at(s, "category"), F.lit("structure")).alias("category"),
@@ -371,22 +402,16 @@ def parse_suggestions(responses: DataFrame) -> ParsedFindings:
         F.lit(False).alias("all_evidence_unverified"),
     )
     items = F.coalesce(R.items_at(s, "source_refs"), F.array().cast("array<variant>"))
-    refs = _refs(each, ["document_id"], F.col("suggestion_id"), items, default_chunk="")
-    return ParsedFindings(suggestions, refs, _failed(rows, ok, "Suggestion reply breaks its contract.", "document_id"))
+    refs = _refs(each, ["document_id", "owner"], F.col("suggestion_id"), items, default_chunk="")
+    return ParsedFindings(suggestions, refs, _failed(rows, "Suggestion reply breaks its contract.", "document_id"))
 
 
-def parse_answers(responses: DataFrame) -> ParsedAnswers:
-    """Answers and their references; failures keep the reply, so that it can be asked for again."""
-    keys = ["question_id", "document_id"]
-    rows = _bound(of_step(responses, "answer"), R.answer_object("content"), "_v")
-    v = F.col("_v")
-
+def _answer_ok(v: Column) -> Column:
     def ref_ok(r: Column) -> Column:
         return _ref_ok(r, MAX_EVIDENCE_CHARS) & (~R.has(r, "evidence_verified") | R.is_flag(r, "evidence_verified"))
 
-    refs_ok = ~R.has(v, "source_refs") | (
-        R.all_items(R.items_at(v, "source_refs"), ref_ok) & (F.size(R.items_at(v, "source_refs")) <= MAX_ANSWER_REFS)
-    )
+    refs = R.items_at(v, "source_refs")
+    refs_ok = ~R.has(v, "source_refs") | (R.all_items(refs, ref_ok) & (F.size(refs) <= MAX_ANSWER_REFS))
     meta = R.at(v, "metadata")
     meta_ok = meta.isNull() | (
         R.is_text(meta, "prompt_version")
@@ -394,16 +419,21 @@ def parse_answers(responses: DataFrame) -> ParsedAnswers:
         & F.try_variant_get(meta, "$.temperature", "double").isNotNull()
         & F.try_to_timestamp(R.text_at(meta, "timestamp")).isNotNull()
     )
-    ok = F.coalesce(
+    return (
         v.isNotNull()
         & R.is_text(v, "answer", MAX_ANSWER_CHARS)
         & R.is_flag(v, "answerable")
         & (~R.has(v, "all_evidence_unverified") | R.is_flag(v, "all_evidence_unverified"))
         & refs_ok
-        & meta_ok,
-        F.lit(False),
+        & meta_ok
     )
-    good = rows.where(ok)
+
+
+def parse_answers(responses: DataFrame) -> ParsedAnswers:
+    """Answers and their references; failures keep the reply, so that it can be asked for again."""
+    keys = ["question_id", "document_id"]
+    rows, v = _judged(responses, "answer"), F.col("_v")
+    good = rows.where("_ok")
     answers = good.select(
         *keys,
         R.text_at(v, "answer").alias("answer"),
@@ -419,5 +449,16 @@ def parse_answers(responses: DataFrame) -> ParsedAnswers:
         .when(v.isNull(), "Reply is not a JSON object.")
         .otherwise("Reply does not conform to the answer schema.")
     )
-    failures = rows.where(~ok).select(*keys, "attempt", "content", message.alias("error_message"))
+    failures = rows.where("NOT _ok").select(*keys, "attempt", "content", message.alias("error_message"))
     return ParsedAnswers(answers, refs, failures)
+
+
+# Where a step's reply lists its items, and what each item must be.
+LISTS = {"extraction": "elements", "contradiction": "findings", "ambiguity": "ambiguities", "suggestion": "suggestions"}
+ITEM_RULES = {
+    "scoring": _score_ok,
+    "contradiction": _contradiction_ok,
+    "ambiguity": _ambiguity_ok,
+    "completeness": _assessment_ok,
+    "suggestion": _suggestion_ok,
+}

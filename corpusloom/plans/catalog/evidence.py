@@ -33,7 +33,8 @@ def match_referenced_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_KEYS} SELECT document_id, chunk_id, evidence, in_any FROM m")
 def match_any_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ev.match_any_chunk(ev.evidence_keys(refs(spark, sf_dir)), _chunks(spark, sf_dir))
+    settle = lambda df: materialize(df, "marks")
+    return ev.match_any_chunk(ev.evidence_keys(refs(spark, sf_dir)), _chunks(spark, sf_dir), settle=settle)
 
 
 @query(f"""WITH {_KEYS} SELECT el.document_id, el.pos, CASE WHEN in_own THEN 'referenced' WHEN in_any THEN 'elsewhere' ELSE 'none' END AS match,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from corpusloom.operators import segment as seg
 from corpusloom.plans import corpus
 from corpusloom.plans.catalog.registry import query
 from corpusloom.session import shared_dir
-from corpusloom.sources import tables
+from corpusloom.sources import store, tables
 from corpusloom.sources.files import scan_files as scan
 
 NOW = "2024-05-01 00:00:00"
@@ -363,9 +365,7 @@ def ir_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_IR)
 def ir_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Written to bucketed tables and read back."""
-    import uuid
-
+    """Written to a store and read back."""
     path = f"{shared_dir(spark)}/ir-{uuid.uuid4().hex}"
     tables.write_ir(_records(spark, sf_dir), corpus.stored(spark, sf_dir, "chunks"), path)
     return _ir_digest(tables.read_ir(spark, path))
@@ -404,3 +404,51 @@ def ingest_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy("format", "status")
         .agg(F.count("*").alias("documents"))
     )
+
+
+def _new_store(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query(f"""WITH v AS (SELECT doc_id, document_id, 'doc-' || document_id || CASE WHEN doc_id % 2 = 0 THEN '.txt' ELSE '.md' END AS original_filename,
+    CASE WHEN doc_id % 2 = 0 THEN 'ready' ELSE {_STATUS} END AS status FROM d),
+    c AS (SELECT document_id, chunk_id, ord, text FROM ch WHERE doc_id % 2 <> 0
+        UNION ALL SELECT document_id, 'chunk-000', 0, 'again: ' || text FROM d WHERE doc_id % 6 IN (2, 4)),
+    n AS (SELECT document_id, count(*) AS n, md5(string_agg(chunk_id || text, '|' ORDER BY ord)) AS dg FROM c GROUP BY document_id)
+    SELECT document_id, original_filename, coalesce(n, 0) AS chunk_count, coalesce(dg, '') AS digest FROM v LEFT JOIN n USING (document_id)
+    WHERE status = 'ready'""")
+def write_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everything written, then every other document once more: under a new name, as one chunk or none."""
+    path = _new_store(spark, "twice")
+    records = _records(spark, sf_dir)
+    tables.write_ir(records, corpus.stored(spark, sf_dir, "chunks"), path, buckets=16)
+    even = F.col("document_id").cast("long") % 2 == 0
+    again = records.where(even).withColumns(
+        {"original_filename": F.concat(F.lit("doc-"), "document_id", F.lit(".txt")), "status": F.lit("ready")}
+    )
+    whole = corpus.raw_documents(spark, sf_dir).where((F.col("doc_id") % 6).isin(2, 4)).select(
+        "document_id",
+        F.lit("chunk-000").alias("chunk_id"),
+        F.concat(F.lit("again: "), "text").alias("text"),
+        F.struct(F.lit(None).cast("int").alias("page"), F.lit("(document)").alias("section")).alias("structural_context"),
+        F.lit(0).alias("order"),
+    )
+    tables.write_ir(again, whole, path)
+    ir = tables.read_ir(spark, path)
+    return _ir_digest(ir).join(ir.select("document_id", "original_filename"), "document_id")
+
+
+@query("""WITH x AS (SELECT document_id, TIMESTAMP '2024-05-01 00:00:00' + to_days(CAST(doc_id % 40 AS INTEGER)) < TIMESTAMP '2024-06-01 00:00:00' AS deleted FROM d)
+    SELECT document_id, deleted, CASE WHEN deleted THEN 0 ELSE (SELECT count(*) FROM ch WHERE ch.document_id = x.document_id) END AS chunks_left,
+    CASE WHEN deleted THEN 0 ELSE (SELECT count(*) FROM se WHERE se.document_id = x.document_id) END AS events_left FROM x""")
+def purge_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expired documents deleted from stored tables, their chunks and session events with them."""
+    path = _new_store(spark, "purged")
+    tables.write_ir(_records(spark, sf_dir), corpus.stored(spark, sf_dir, "chunks"), path, buckets=16)
+    tables.add_session_events(corpus.session_events(spark, sf_dir), path)
+    gone = tables.purge_stored(spark, path, F.lit(corpus.AS_OF).cast("timestamp")).select("document_id", F.lit(True).alias("deleted"))
+    every = store.read(spark, path, "documents").select("document_id", F.lit(False).alias("deleted")).unionByName(gone)
+    for name, out in (("chunks", "chunks_left"), ("session_events", "events_left")):
+        left = store.read(spark, path, name).groupBy("document_id").agg(F.count("*").alias(out))
+        every = every.join(left, "document_id", "left")
+    return every.na.fill(0, ["chunks_left", "events_left"])

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.functions.text import owner_key
 from corpusloom.model import EXPECTED_ELEMENTS, type_schema
 from corpusloom.operators import graph as g
 from corpusloom.operators import quality as ql
@@ -14,7 +15,7 @@ from corpusloom.operators.constraints import check_constraints as check
 from corpusloom.plans import corpus
 from corpusloom.plans.catalog.graph import docs, els, rels
 from corpusloom.plans.catalog.registry import query
-from corpusloom.session import shared_dir
+from corpusloom.session import materialize, shared_dir
 from corpusloom.sources import tables
 
 _CATALOGUE = ", ".join(
@@ -68,6 +69,7 @@ def ambiguities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(
         "document_id",
         F.concat(F.lit("amb-"), F.col("pos").cast("string")).alias("finding_id"),
+        owner_key("ambiguity", "pos").alias("owner"),
         F.array(F.lit(2).cast("long"), "pos").alias("ord"),
         F.lit("ambiguity").alias("type"),
         F.concat(F.lit("unclear: "), "name").alias("description"),
@@ -94,6 +96,7 @@ def suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(
         "document_id",
         F.concat(F.lit("sug-"), pos.cast("string")).alias("suggestion_id"),
+        owner_key("suggestion", pos).alias("owner"),
         "pos",
         F.concat(F.lit("look at "), "name").alias("description"),
         F.lit("clarity").alias("category"),
@@ -108,6 +111,7 @@ def suggestion_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = els(spark, sf_dir).where(F.col("pos") % 4 == 0)
     return e.select(
         "document_id",
+        owner_key("suggestion", "pos").alias("owner"),
         F.concat(F.lit("sug-"), F.col("pos").cast("string")).alias("owner_id"),
         F.lit(0).alias("ref_pos"),
         "source_ref.*",
@@ -138,7 +142,7 @@ def match_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_ALL} SELECT document_id, finding_id, 'missing' AS classification, name AS expected_element, description, importance AS severity,
     document_type AS schema_reference FROM gap""")
 def missing_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gaps(spark, sf_dir).drop("ord")
+    return gaps(spark, sf_dir).drop("ord", "owner")
 
 
 @query("""SELECT document_id, CASE WHEN doc_id % 11 = 0 THEN 'Completeness cannot be assessed: Knowledge Model contains zero elements.'
@@ -199,12 +203,13 @@ def suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = ql.suggest(
         suggestions(spark, sf_dir),
         suggestion_refs(spark, sf_dir),
-        findings(spark, sf_dir),
-        gaps(spark, sf_dir),
+        materialize(findings(spark, sf_dir), "findings"),
+        materialize(gaps(spark, sf_dir), "gaps"),
         corpus.stored(spark, sf_dir, "chunks"),
+        settle=lambda df: materialize(df, "suggested"),
     )
-    refs = out.refs.select("document_id", F.col("owner_id").alias("suggestion_id"), "chunk_id")
-    return out.suggestions.join(refs, ["document_id", "suggestion_id"]).select(
+    refs = out.refs.select("document_id", "owner", "chunk_id")
+    return out.suggestions.join(refs, ql.OWNER_KEY).select(
         "document_id", "suggestion_id", "place", "chunk_id"
     )
 
@@ -258,7 +263,7 @@ def model_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = els(spark, sf_dir)
     r = g.drop_dangling(rels(spark, sf_dir), e)
     tables.persist_model(e, r, docs(spark, sf_dir), path)
-    tables.write_table(corpus.session_events(spark, sf_dir), f"{path}/session_events")
+    tables.add_session_events(corpus.session_events(spark, sf_dir), path)
     model = tables.read_knowledge_model(spark, path)
     edges = F.aggregate(
         "elements", F.lit(0), lambda acc, x: acc + F.coalesce(F.greatest(F.size(x.relations), F.lit(0)), F.lit(0))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusloom.session import REPLY_SETTINGS
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -93,10 +96,19 @@ def with_views(body: str) -> str:
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a query under its function's name."""
+    """Register a query under its function's name.
+
+    A registered query is a whole job: it makes the settings that replies are read with on the session it is given.
+    """
 
     def register(fn: Query) -> Query:
-        QUERIES[fn.__name__] = fn
+        @functools.wraps(fn)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            for name, value in REPLY_SETTINGS.items():
+                spark.conf.set(name, value)
+            return fn(spark, sf_dir)
+
+        QUERIES[fn.__name__] = run
         if sql is not None:
             ORACLES[fn.__name__] = with_views(sql)
         return fn

@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import replies as rp
 from corpusloom.model import type_schema
 from corpusloom.operators import context as cx
+from corpusloom.operators import evidence as ev
 from corpusloom.operators import quality as ql
 from corpusloom.operators import replies as rs
+from corpusloom.operators.constraints import check_constraints as check
 from corpusloom.plans import analysis, completion, corpus, prompts
 from corpusloom.plans.catalog.graph import docs, els, rels
 from corpusloom.plans.catalog.quality import _CAT, findings, gaps
 from corpusloom.plans.catalog.registry import query
-from corpusloom.session import materialize
+from corpusloom.session import materialize, shared_dir
+from corpusloom.sources import tables
 
 _OK = "doc_id % 17 <> 5"
 _SEV = "CASE pos % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE '{}' END"
@@ -70,8 +75,8 @@ def unscored_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     WHERE pos % 5 = 0 AND {_OK} AND doc_id % 13 <> 3""")
 def parse_contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rs.parse_contradictions(responses(spark, sf_dir))
-    refs = out.refs.groupBy("document_id", F.col("owner_id").alias("finding_id")).agg(F.count("*").cast("int").alias("refs"))
-    return out.findings.join(refs, ["document_id", "finding_id"]).select(
+    refs = out.refs.groupBy(*ql.OWNER_KEY).agg(F.count("*").cast("int").alias("refs"))
+    return out.findings.join(refs, ql.OWNER_KEY).select(
         "document_id", "description", "severity", F.array_join("affected_element_ids", ",").alias("affected"), "refs"
     )
 
@@ -80,8 +85,7 @@ def parse_contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM el WHERE pos % 4 = 0 AND {_OK} AND doc_id % 13 <> 6""")
 def parse_ambiguities(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rs.parse_ambiguities(responses(spark, sf_dir))
-    refs = out.refs.withColumnRenamed("owner_id", "finding_id")
-    return out.findings.join(refs, ["document_id", "finding_id"]).select(
+    return out.findings.join(out.refs, ql.OWNER_KEY).select(
         "document_id", "finding_id", "description", "severity", "chunk_id", "evidence"
     )
 
@@ -98,8 +102,8 @@ def parse_partials(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM el WHERE pos % 2 = 0 AND {_OK}""")
 def parse_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rs.parse_suggestions(responses(spark, sf_dir))
-    refs = out.refs.groupBy("document_id", F.col("owner_id").alias("suggestion_id")).agg(F.count("*").cast("int").alias("refs"))
-    return out.findings.join(refs, ["document_id", "suggestion_id"], "left").select(
+    refs = out.refs.groupBy(*ql.OWNER_KEY).agg(F.count("*").cast("int").alias("refs"))
+    return out.findings.join(refs, ql.OWNER_KEY, "left").select(
         "document_id", "suggestion_id", "pos", "description", "category", "priority", F.coalesce("refs", F.lit(0)).alias("refs")
     )
 
@@ -140,12 +144,18 @@ def strip_code_fences(spark: SparkSession, sf_dir: str) -> DataFrame:
     added AS (SELECT document_id, target_id AS a, source_id AS b FROM m EXCEPT SELECT document_id, source_id, target_id FROM m)
     SELECT document_id, count(*) AS element_count, (SELECT count(*) FROM r WHERE r.document_id = g.document_id)
     + (SELECT count(*) FROM added WHERE added.document_id = g.document_id) AS relationship_count, NOT bool_or(type = 'proposito') AS lacks_purpose,
-    'extraction-v1' AS prompt_version, 'model-a' AS model_id FROM g GROUP BY document_id""")
+    'extraction-v1' AS prompt_version, 'model-a' AS model_id, epoch(TIMESTAMP '{corpus.AS_OF}')::BIGINT AS extracted_at FROM g GROUP BY document_id""")
 def extract_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extraction replies to a clean graph: counts per document after all clean-up."""
     out = _extracted(spark, sf_dir)
     return out.summary.select(
-        "document_id", "element_count", "relationship_count", "lacks_purpose", "prompt_version", "model_id"
+        "document_id",
+        "element_count",
+        "relationship_count",
+        "lacks_purpose",
+        "prompt_version",
+        "model_id",
+        F.unix_seconds("extracted_at").alias("extracted_at"),
     )
 
 
@@ -159,10 +169,17 @@ def extract_model_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _extracted(spark: SparkSession, sf_dir: str) -> analysis.Extracted:
     chunks = corpus.stored(spark, sf_dir, "chunks")
     return analysis.extract_model(
-        responses(spark, sf_dir), chunks, _markdown(spark, sf_dir), settle=lambda df: materialize(df, "extracted")
+        responses(spark, sf_dir),
+        chunks,
+        _markdown(spark, sf_dir),
+        settle=lambda df: materialize(df, "extracted"),
+        extracted_at=F.lit(corpus.AS_OF).cast("timestamp"),
     )
 
 
+STARTED = "2024-05-31 23:58:00"
+
+
 def _assessed(spark: SparkSession, sf_dir: str, fuzzy: bool) -> analysis.Assessed:
     return analysis.assess_replies(
         docs(spark, sf_dir),
@@ -173,11 +190,14 @@ def _assessed(spark: SparkSession, sf_dir: str, fuzzy: bool) -> analysis.Assesse
         responses(spark, sf_dir),
         fuzzy=fuzzy,
         settle=lambda df: materialize(df, "quality"),
+        started_at=F.lit(STARTED).cast("timestamp"),
+        completed_at=F.lit(corpus.AS_OF).cast("timestamp"),
     )
 
 
 @query("""WITH f AS (SELECT document_id, 0 AS rank FROM d WHERE (doc_id % 17 = 5 OR doc_id % 13 = 3) AND document_id IN (SELECT document_id FROM el WHERE pos % 5 = 0)
     UNION ALL SELECT document_id, 1 FROM d WHERE (doc_id % 17 = 5 OR doc_id % 13 = 6) AND document_id IN (SELECT document_id FROM el WHERE pos % 4 = 0)
+    UNION ALL SELECT document_id, 1 FROM d WHERE document_id NOT IN (SELECT document_id FROM el)
     UNION ALL SELECT document_id, 2 FROM ty WHERE document_type <> 'generic' AND document_id NOT IN (SELECT document_id FROM el)
     UNION ALL SELECT document_id, 3 FROM d WHERE doc_id % 17 = 5 AND document_id IN (SELECT document_id FROM el))
     SELECT document_id, ['analyzing_contradictions', 'analyzing_ambiguities', 'analyzing_completeness', 'generating_suggestions'][min(rank) + 1] AS error_phase
@@ -198,7 +218,7 @@ def assess_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Everything the stored replies and the derived graph hold, for documents none of whose phases failed.
 _GOOD = """bad AS (SELECT document_id FROM d WHERE doc_id % 13 = 3 AND document_id IN (SELECT document_id FROM el WHERE pos % 5 = 0)
         OR doc_id % 13 = 6 AND document_id IN (SELECT document_id FROM el WHERE pos % 4 = 0)
-        UNION SELECT document_id FROM ty WHERE document_type <> 'generic' AND document_id NOT IN (SELECT document_id FROM el)
+        UNION SELECT document_id FROM d WHERE document_id NOT IN (SELECT document_id FROM el)
         UNION SELECT document_id FROM el WHERE doc_id % 17 = 5),
     hit AS (SELECT DISTINCT el.document_id, cat.schema_pos FROM el JOIN ty USING (document_id) JOIN cat ON cat.document_type = ty.document_type
         AND (contains(lower(el.name), cat.name) OR contains(el.type, cat.name) OR contains(cat.name, lower(el.name)) OR contains(cat.name, el.type))),
@@ -219,12 +239,58 @@ _GOOD = """bad AS (SELECT document_id FROM d WHERE doc_id % 13 = 3 AND document_
     least(20, said + s + mh + gh) AS suggestions, 'completed' AS status FROM n WHERE document_id NOT IN (SELECT document_id FROM bad)""")
 def assess_quality_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The assessment with evidence checked by the exact steps: counts per completed document."""
-    return _assessed(spark, sf_dir, fuzzy=False).results
+    return _assessed(spark, sf_dir, fuzzy=False).results.drop("metadata")
+
+
+@query(f"""WITH {_CAT}, {_GOOD} SELECT d.document_id, CASE WHEN b.document_id IS NULL THEN 'completed' ELSE 'failed' END AS status,
+    CASE WHEN b.document_id IS NULL THEN 'ambiguity-v1,completeness-v1,contradiction-v1,suggestion-v1' END AS versions,
+    CASE WHEN b.document_id IS NULL THEN 'model-a' END AS model_id, CASE WHEN b.document_id IS NULL THEN n.document_type END AS document_type,
+    CASE WHEN b.document_id IS NULL THEN 120 END AS seconds, CASE WHEN b.document_id IS NULL THEN CAST(s + m AS BIGINT) END AS contradictions,
+    CASE WHEN b.document_id IS NULL THEN CAST(least(20, said + s + mh + gh) AS BIGINT) END AS suggestions,
+    CASE WHEN b.document_id IS NULL THEN 0.1 END AS temperature
+    FROM d JOIN n USING (document_id) LEFT JOIN bad b ON b.document_id = d.document_id""")
+def quality_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stored results say about their run; failed ones say nothing."""
+    path = f"{shared_dir(spark)}/quality-runs-{uuid.uuid4().hex}"
+    out = _assessed(spark, sf_dir, fuzzy=False)
+    tables.persist_quality(out.findings, out.missing, out.suggestions, out.refs, out.results, out.failures, path, buckets=16)
+    got = tables.read_quality_result(spark, path)["quality_results"]
+    m = F.col("metadata")
+    return got.select(
+        "document_id",
+        "status",
+        F.when(m.isNotNull(), F.array_join(F.array_sort(F.map_values(m["prompt_versions"])), ",")).alias("versions"),
+        m["model_id"].alias("model_id"),
+        m["document_type"].alias("document_type"),
+        (F.unix_timestamp(m["completed_at"]) - F.unix_timestamp(m["started_at"])).cast("int").alias("seconds"),
+        m["finding_counts"]["contradictions"].alias("contradictions"),
+        m["finding_counts"]["suggestions"].alias("suggestions"),
+        m["temperature"].alias("temperature"),
+    )
 
 
 _NORM = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
 
 
+# The same id for every ambiguity and suggestion of a document: each is still judged by its own references.
+@query(rf"""WITH e AS (SELECT el.document_id, doc_id, pos, {_NORM.format('el.evidence')} <> '' AND EXISTS (SELECT 1 FROM ch WHERE ch.document_id = el.document_id
+        AND contains({_NORM.format('ch.text')}, {_NORM.format('el.evidence')})) AS ok FROM el)
+    SELECT document_id, 'ambiguity' AS kind, pos // 4 AS place, NOT ok AS all_evidence_unverified FROM e WHERE pos % 4 = 0 AND {_OK} AND doc_id % 13 <> 6
+    UNION ALL SELECT document_id, 'suggestion', pos // 2, pos % 4 = 0 AND NOT ok FROM e WHERE pos % 2 = 0 AND {_OK}""")
+def assess_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies whose ids repeat across kinds and within one, their references checked by the exact steps."""
+    same = responses(spark, sf_dir).withColumn("content", F.regexp_replace("content", r'"id":"(amb|sug)-[0-9]+"', '"id":"same"'))
+    chunks = corpus.stored(spark, sf_dir, "chunks")
+    vague, said = rs.parse_ambiguities(same), rs.parse_suggestions(same)
+    refs = vague.refs.unionByName(ql.default_suggestion_refs(said.findings, said.refs, chunks))
+    checked = materialize(ev.verify_evidence(refs, chunks, fuzzy=False), "checked")
+    key = [F.col("document_id"), F.substring_index("owner", ":", 1).alias("kind"), F.substring_index("owner", ":", -1).cast("long").alias("place")]
+    out = [ev.all_evidence_unverified(owners, checked, ql.OWNER_KEY) for owners in (vague.findings, said.findings)]
+    vague_, said_ = (df.select(*key, "all_evidence_unverified") for df in out)
+    return vague_.unionByName(said_)
+
+
+
 @query(rf"""WITH {_ANS}, hit AS (SELECT el.document_id, el.pos, {_NORM.format('el.evidence')} <> '' AND EXISTS (SELECT 1 FROM ch WHERE ch.document_id = el.document_id
     AND contains({_NORM.format('ch.text')}, {_NORM.format('el.evidence')})) AS ok FROM el)
     SELECT an.question_id, an.document_id, 'From ' || n || ' parts.' AS answer, NOT bool_or(ok) AS all_evidence_unverified FROM an
@@ -237,6 +303,23 @@ def finish_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.answers.select("question_id", "document_id", "answer", "all_evidence_unverified")
 
 
+@query(f"""WITH {_ANS} SELECT question_id, document_id, n AS refs, n > 10 AS refused, CASE WHEN n > 10 THEN 'more than 10 source_refs' ELSE '' END AS reasons FROM an""")
+def check_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers that quote every element of their document: at most ten references are allowed."""
+    quoted = corpus.stored(spark, sf_dir, "questions").join(els(spark, sf_dir), "document_id")
+    refs = F.collect_list("source_ref").alias("source_refs")
+    answers = quoted.groupBy("question_id", "document_id").agg(refs).withColumn("answer", F.lit("as quoted"))
+    out = check(answers, "nested_answers")
+    kept = out.accepted.withColumn("reasons", F.array().cast("array<string>"))
+    return kept.unionByName(out.rejected).select(
+        "question_id",
+        "document_id",
+        F.size("source_refs").cast("long").alias("refs"),
+        (F.size("reasons") > 0).alias("refused"),
+        F.array_join("reasons", "; ").alias("reasons"),
+    )
+
+
 def echo_model(model: str, prompt: str, temperature: float) -> str:
     """Stand-in for a model: refuses by prompt length, fails over, or answers with what it was asked."""
     if len(prompt) % 5 == 0 and model != "fallback":

@@ -1,4 +1,9 @@
-"""Running prompts through a model function supplied by the user."""
+"""Running prompts through a model function supplied by the user.
+
+Calls are slow and cost money, so they can be recorded in a ledger: a folder that every task adds its replies to when it
+ends, while the job still runs. A job that is run again, whatever ended the first run, asks only what the ledger does not
+hold; a prompt that several rows share is asked once.
+"""
 
 from __future__ import annotations
 
@@ -7,11 +12,12 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.model import RESPONSES, TEMPERATURE
-from corpusloom.operators.replies import ParsedAnswers, parse_answers
+from corpusloom.operators.replies import ParsedAnswers, judge, parse_answers
 
 # Called as complete(model, prompt, temperature) -> reply text, inside the tasks.
 Model = Callable[[str, str, float], str]
@@ -35,6 +41,21 @@ class Tiers:
         return self.light if tier == "light" else self.primary
 
 
+@dataclass(frozen=True)
+class Calls:
+    """How a job makes its calls: over how many tasks, how many at a time in each, and the folder of the ledger, if any."""
+
+    partitions: int | None = None
+    concurrency: int = 1
+    ledger: str | None = None
+
+
+LEDGER = "digest STRING, content STRING, model_id STRING, error STRING"
+KEYS = ["document_id", "step", "segment", "question_id", "attempt", "prompt_version"]
+# A task's replies are recorded together, when it ends.
+CALLS_PER_TASK = 16
+
+
 def _call(fn: Model, tiers: Tiers, tier: str, prompt: str) -> tuple[str | None, str, str | None]:
     """(reply, model that answered last, error)."""
     model = tiers.of(tier)
@@ -52,16 +73,20 @@ def _call(fn: Model, tiers: Tiers, tier: str, prompt: str) -> tuple[str | None,
         return None, model, f"{type(e).__name__}: {e}"
 
 
-def complete(
-    prompts: DataFrame, fn: Model, tiers: Tiers = Tiers(), partitions: int | None = None, concurrency: int = 1
-) -> DataFrame:
-    """Responses table for a prompt table. Store it (`session.materialize`) before using it twice.
+def complete(prompts: DataFrame, fn: Model, tiers: Tiers = Tiers(), calls: Calls = Calls()) -> DataFrame:
+    """Responses table for a prompt table.
 
-    `partitions` deals the prompts out by key, so that a small table of slow calls does not end up in one task;
-    `concurrency` calls run at a time in a task, for which `fn` must be safe to call from threads.
+    Without a ledger, store it (`session.materialize`) before using it twice. `calls.partitions` deals the prompts out by
+    key, so that a small table of slow calls does not end up in one task; `calls.concurrency` calls run at a time in a
+    task, for which `fn` must be safe to call from threads.
     """
-    keys = ["document_id", "step", "segment", "question_id", "attempt", "prompt_version"]
+    if calls.ledger is not None:
+        return _recorded(prompts, fn, tiers, calls)
+    dealt = prompts if calls.partitions is None else prompts.repartition(calls.partitions, *KEYS)
+    return dealt.mapInPandas(_caller(fn, tiers, calls.concurrency, KEYS), RESPONSES)
+
 
+def _caller(fn: Model, tiers: Tiers, concurrency: int, keys: list[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with ThreadPoolExecutor(concurrency) as pool:
             for batch in batches:
@@ -70,8 +95,36 @@ def complete(
                     content=[r[0] for r in replies], model_id=[r[1] for r in replies], error=[r[2] for r in replies]
                 )
 
-    dealt = prompts if partitions is None else prompts.repartition(partitions, *keys)
-    return dealt.mapInPandas(run, RESPONSES)
+    return run
+
+
+def ledger(spark: SparkSession, path: str) -> DataFrame:
+    """Recorded calls: `digest` of what was asked, the reply or the error. Calls that failed are asked again."""
+    try:
+        return spark.read.schema(LEDGER).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], LEDGER)
+
+
+def _recorded(prompts: DataFrame, fn: Model, tiers: Tiers, calls: Calls) -> DataFrame:
+    spark = prompts.sparkSession
+    models = F.lit("\x1f".join((tiers.primary, tiers.light, tiers.fallback, str(TEMPERATURE))))
+    digest = F.sha2(F.concat_ws("\x1f", models, "tier", "prompt"), 256)
+    asked = prompts.withColumn("digest", digest)
+    known = ledger(spark, calls.ledger).where("content IS NOT NULL").select("digest")
+    new = asked.select("digest", "tier", "prompt").dropDuplicates(["digest"]).join(known, "digest", "left_anti")
+    tasks = calls.partitions
+    if tasks is None:
+        open_ = asked.select("digest").distinct().join(known, "digest", "left_anti").count()
+        tasks = max(spark.sparkContext.defaultParallelism, -(-open_ // CALLS_PER_TASK))
+    made = new.repartition(tasks, "digest").mapInPandas(_caller(fn, tiers, calls.concurrency, ["digest"]), LEDGER)
+    # The second commit algorithm puts a task's file in place when the task ends, not when the job does.
+    made.write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(calls.ledger)
+    best = F.max_by(F.struct("content", "model_id", "error"), F.col("content").isNotNull()).alias("r")
+    replies = ledger(spark, calls.ledger).groupBy("digest").agg(best)
+    return asked.join(replies, "digest").select(*KEYS, "r.content", "r.model_id", "r.error")
 
 
 def corrective_prompts(prompts: DataFrame, failures: DataFrame) -> DataFrame:
@@ -93,12 +146,17 @@ def corrective_prompts(prompts: DataFrame, failures: DataFrame) -> DataFrame:
 
 
 def retry_unparsed(
-    prompts: DataFrame, responses: DataFrame, fn: Model, tiers: Tiers = Tiers(), settle: Callable[[DataFrame], DataFrame] | None = None
+    prompts: DataFrame,
+    responses: DataFrame,
+    fn: Model,
+    tiers: Tiers = Tiers(),
+    settle: Callable[[DataFrame], DataFrame] | None = None,
+    calls: Calls = Calls(),
 ) -> ParsedAnswers:
     """Answers after at most one more attempt; the recorded model is that of the first call."""
     first = parse_answers(responses)
-    again = complete(corrective_prompts(prompts, first.failures), fn, tiers)
-    again = again if settle is None else settle(again)
+    again = complete(corrective_prompts(prompts, first.failures), fn, tiers, calls)
+    again = judge(again) if settle is None else settle(judge(again))
     second = parse_answers(again)
     asked = responses.where(F.col("step") == "answer").select(
         "question_id", "document_id", F.col("model_id").alias("_model")

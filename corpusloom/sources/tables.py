@@ -1,4 +1,7 @@
-"""Parquet tables of the library, partitioned by a hash bucket of the document."""
+"""The library's tables in a store: documents with chunks, models, quality results.
+
+Writing again replaces what a document had, in all its tables at once; see `sources.store`.
+"""
 
 from __future__ import annotations
 
@@ -7,46 +10,41 @@ from pyspark.sql import functions as F
 
 from corpusloom.model import MAX_ERROR_CHARS
 from corpusloom.operators.ingest import ir_view
+from corpusloom.operators.quality import OWNER_KEY
 from corpusloom.operators.sessions import current_sessions
+from corpusloom.sources import store
 
-BUCKETS = 64
-
-
-def bucket(document_id: Column | str) -> Column:
-    """Folder a document's rows live in: reading one document touches one folder."""
-    return F.pmod(F.xxhash64(document_id), F.lit(BUCKETS)).cast("int")
 
+def write_ir(documents: DataFrame, chunks: DataFrame, path: str, buckets: int | None = None) -> None:
+    """Documents with their chunks; a document written before is replaced, also by one without chunks."""
+    store.replace(path, documents, buckets, documents=documents, chunks=chunks)
 
-def write_table(df: DataFrame, path: str, mode: str = "append") -> None:
-    # Rebalancing gathers a bucket's rows into few files, and adaptive execution splits a bucket that is too large.
-    rows = df.withColumn("bucket", bucket("document_id")).hint("rebalance", "bucket")
-    rows.write.mode(mode).partitionBy("bucket").parquet(path)
 
-
-def read_table(spark: SparkSession, path: str, document_id: str | None = None) -> DataFrame:
-    """The whole table, or one document's rows with the bucket folder pruned."""
-    df = spark.read.parquet(path)
-    if document_id is not None:
-        key = F.lit(document_id)
-        df = df.where((F.col("bucket") == bucket(key)) & (F.col("document_id") == key))
-    return df.drop("bucket")
+def read_ir(spark: SparkSession, path: str, document_id: str | None = None) -> DataFrame:
+    return ir_view(store.read(spark, path, "documents", document_id), store.read(spark, path, "chunks", document_id))
 
 
-def write_ir(documents: DataFrame, chunks: DataFrame, path: str, mode: str = "append") -> None:
-    """Chunks first: a document is only seen as ready once its chunks are there."""
-    write_table(chunks, f"{path}/chunks", mode)
-    write_table(documents, f"{path}/documents", mode)
+def add_session_events(events: DataFrame, path: str, buckets: int | None = None) -> None:
+    """Events are only ever added."""
+    store.append(path, buckets, session_events=events)
 
 
-def read_ir(spark: SparkSession, path: str, document_id: str | None = None) -> DataFrame:
-    return ir_view(
-        read_table(spark, f"{path}/documents", document_id), read_table(spark, f"{path}/chunks", document_id)
-    )
+def persist_model(
+    elements: DataFrame, relations: DataFrame, extractions: DataFrame, path: str, buckets: int | None = None
+) -> None:
+    """Models of the documents in `extractions`, in the place of earlier ones."""
+    store.replace(path, extractions, buckets, elements=elements, relations=relations, extractions=extractions)
 
 
-def persist_model(elements: DataFrame, relations: DataFrame, extractions: DataFrame, path: str, mode: str = "append") -> None:
-    for name, df in (("elements", elements), ("relations", relations), ("extractions", extractions)):
-        write_table(df, f"{path}/{name}", mode)
+def purge_stored(spark: SparkSession, path: str, as_of: Column) -> DataFrame:
+    """Delete documents that expired strictly before `as_of` from every table of the store; returns their records."""
+    before = store.latest(spark, path)
+    documents = store.read(spark, path, "documents")
+    gone = documents.where(F.col("expires_at") < as_of)
+    # The records are read from the commit before, which stays until `store.vacuum`.
+    if before is not None:
+        store.delete(spark, path, gone)
+    return gone
 
 
 def model_view(sessions: DataFrame, elements: DataFrame, relations: DataFrame, extractions: DataFrame) -> DataFrame:
@@ -72,7 +70,7 @@ def model_view(sessions: DataFrame, elements: DataFrame, relations: DataFrame, e
 def read_knowledge_model(spark: SparkSession, path: str, document_id: str | None = None) -> DataFrame:
     """Nested models under `path`, with the session events deciding which are completed."""
     tables = {
-        name: read_table(spark, f"{path}/{name}", document_id)
+        name: store.read(spark, path, name, document_id)
         for name in ("session_events", "elements", "relations", "extractions")
     }
     return model_view(
@@ -105,22 +103,30 @@ def persist_quality(
     results: DataFrame,
     failures: DataFrame,
     path: str,
-    mode: str = "append",
+    buckets: int | None = None,
 ) -> None:
-    """Write an assessment; documents in `failures` keep explicit contradictions and their references only."""
+    """Write an assessment in the place of earlier ones of its documents.
+
+    Documents in `failures` keep explicit contradictions and their references only; their results hold the error and no
+    metadata.
+    """
     ids = failures.select("document_id")
     kept = quality_rows(findings, failures)
-    write_table(kept, f"{path}/findings", mode)
-    write_table(missing.join(ids, "document_id", "left_anti"), f"{path}/missing_elements", mode)
-    write_table(suggestions.join(ids, "document_id", "left_anti"), f"{path}/suggestions", mode)
-    owners = kept.select("document_id", F.col("finding_id").alias("owner_id")).unionByName(
-        suggestions.join(ids, "document_id", "left_anti").select("document_id", F.col("suggestion_id").alias("owner_id"))
-    )
-    write_table(refs.join(owners.distinct(), ["document_id", "owner_id"], "left_semi"), f"{path}/refs", mode)
+    proposed = suggestions.join(ids, "document_id", "left_anti")
+    owners = kept.select(*OWNER_KEY).unionByName(proposed.select(*OWNER_KEY))
     status = results.join(ids, "document_id", "left_anti").unionByName(
         failed_quality(failures), allowMissingColumns=True
     )
-    write_table(status, f"{path}/quality_results", mode)
+    store.replace(
+        path,
+        results.select("document_id").unionByName(ids),
+        buckets,
+        findings=kept,
+        missing_elements=missing.join(ids, "document_id", "left_anti"),
+        suggestions=proposed,
+        refs=refs.join(owners, OWNER_KEY, "left_semi"),
+        quality_results=status,
+    )
 
 
 def quality_payload(stored: DataFrame, schema: str) -> DataFrame:
@@ -132,6 +138,6 @@ def quality_payload(stored: DataFrame, schema: str) -> DataFrame:
 
 def read_quality_result(spark: SparkSession, path: str, document_id: str | None = None) -> dict[str, DataFrame]:
     return {
-        name: read_table(spark, f"{path}/{name}", document_id)
+        name: store.read(spark, path, name, document_id)
         for name in ("quality_results", "findings", "missing_elements", "suggestions", "refs")
     }

@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from corpusloom.model import DEFAULT_RETENTION_SECONDS, FILES
 from corpusloom.operators.ingest import ingest
 from corpusloom.sources.files import load_files, with_names
-from corpusloom.sources.tables import bucket
+from corpusloom.sources.store import bucket
 
 
 def file_stream(spark: SparkSession, path: str, per_trigger: int | None = None) -> DataFrame:

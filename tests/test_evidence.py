@@ -94,3 +94,61 @@ def test_summary_and_flags(spark):
     owners = spark.createDataFrame([(k,) for k in "xyz"], "k string")
     refs = spark.createDataFrame([("x", False), ("x", True), ("y", False)], "k string, evidence_verified boolean")
     assert rows(ev.all_evidence_unverified(owners, refs, ["k"])) == [("x", False), ("y", True), ("z", False)]
+
+
+def test_fingerprints_of_a_part_are_those_of_the_whole(spark):
+    rng = random.Random(6)
+    whole = phrase(rng, 400)
+    parts = [whole[i : i + ev.MEET + rng.randint(0, 90)] for i in range(0, len(whole) - ev.MEET - 90, 7)]
+    texts = spark.createDataFrame([(p,) for p in [whole, *parts]], "t string")
+    got = {r.t: set(r.fingerprints) for r in ev.with_fingerprints(texts, "t").collect()}
+    assert all(got[p] and got[p] <= got[whole] for p in parts)
+    assert len(got[whole]) < len(whole) / 8
+
+
+def test_any_chunk_by_fingerprint_equals_brute_force(spark):
+    """Long texts in several pieces, boilerplate in every chunk, near misses that share windows, quotes at either end."""
+    rng = random.Random(7)
+    stock = phrase(rng, 60)
+    texts = {("a", f"chunk-{i:03d}"): f"{phrase(rng, 120)} {stock} {phrase(rng, 120)}" for i in range(25)}
+    texts |= {("b", "chunk-000"): phrase(rng, 900), ("b", "chunk-001"): "", ("b", "chunk-002"): "x" * 2000}
+    quotes = []
+    for n in range(300):
+        d, c = rng.choice(list(texts))
+        flat = " ".join(texts[d, c].split())
+        size = rng.choice([ev.MEET - 1, ev.MEET, 60, 200, 700])
+        i = rng.choice([0, max(len(flat) - size, 0), rng.randrange(len(flat) + 1)])
+        quote = flat[i : i + size]
+        if n % 3 == 0 and len(quote) > 50:
+            quote = quote[:45] + "#" + quote[46:]
+        quotes.append((rng.choice([d, d, "b"]), c, quote or "q", n))
+    quotes += [("a", "chunk-000", stock + f" {i}", 1000 + i) for i in range(9)] + [("none", "chunk-000", stock, 2000)]
+    chunks, refs = frames(spark, texts, quotes)
+    keys = ev.evidence_keys(refs)
+    got = {(r.document_id, r.evidence): r.in_any for r in ev.match_any_chunk(keys, chunks).collect()}
+    flat = {}
+    for (d, _), t in texts.items():
+        flat.setdefault(d, []).append(" ".join(t.split()))
+    want_ = {(d, e): any(e in t for t in flat.get(d, [])) for d, e in got}
+    assert got == want_ and set(got.values()) == {True, False}
+
+
+def test_one_document_of_many_chunks_makes_rows_in_proportion(spark):
+    """12,000 chunks, an evidence from each: candidates to compare are about one for each evidence, not 12,000."""
+    text = F.concat_ws(" ", *[F.sha2(F.concat(F.lit(str(k)), F.col("id").cast("string")), 256) for k in range(3)])
+    chunks = spark.range(12_000).select(
+        F.lit("hot").alias("document_id"),
+        F.concat(F.lit("chunk-"), F.col("id").cast("string")).alias("chunk_id"),
+        text.alias("text"),
+        F.col("id").cast("int").alias("order"),
+    )
+    texts = chunks.select("document_id", F.substring("text", 30, 60).alias("evidence"))
+    kept = []
+
+    def settle(df):
+        kept.append(materialize(df, "marks"))
+        return kept[-1]
+
+    assert ev.find_by_fingerprint(texts, chunks, settle).distinct().count() == 12_000
+    marks, tried = (df.count() for df in kept)
+    assert marks <= 12_000 * 6 and tried == 12_000

@@ -8,6 +8,7 @@ from corpusloom.model import QUALITY_PHASES
 from corpusloom.operators import ingest as ing
 from corpusloom.operators import sessions as ss
 from corpusloom.operators.prefix import previous_value, running_total
+from corpusloom.session import materialize
 from corpusloom.sources import tables
 from corpusloom.sources.files import scan_files
 from corpusloom.streaming import arrivals
@@ -46,10 +47,36 @@ def test_two_level_windows_equal_plain_ones(spark):
         want[r.k, r.o] = (total, prev)
         last[r.k] = (total + r.v, r.v)
     sums = running_total(df, ["k"], "o", F.col("v"), "before", block=50)
-    both = previous_value(sums, ["k"], "o", "v", "prev", block=50)
+    both = previous_value(sums, ["k"], "o", "v", "prev")
     assert {(r.k, r.o): (r.before, r.prev) for r in both.collect()} == want
 
 
+def test_previous_value_of_one_hot_key_spreads_over_tasks(spark):
+    """A million timestamps, most of them in one dense stretch: no task gets more than a few ranges."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        micros = F.when(F.col("id") % 10 == 0, F.col("id") * 1_000_000_000).otherwise(F.col("id"))
+        events = spark.range(1_000_000).select(F.lit("hot").alias("k"), F.timestamp_micros(micros).alias("at"), "id")
+        kept = []
+
+        def settle(df):
+            kept.append(materialize(df, "ranges"))
+            return kept[-1]
+
+        done = previous_value(events, ["k"], "at", "id", "before", settle)
+        sizes = [r["count"] for r in kept[0].groupBy("_block").count().collect()]
+        assert len(sizes) == 16 and max(sizes) < 2 * sum(sizes) / 16
+        tasks = [r["count"] for r in done.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        assert len(tasks) >= 6 and max(tasks) <= 5 * max(sizes)
+        assert done.where("before IS NULL").count() == 1
+        text = done._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(k#" in text and ", _block#" in text
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def test_ingest_all_formats(spark, tmp_path):
     (tmp_path / "in").mkdir()
     files = {"a.md": b"# T\nthe cat is on the mat and it was", "b.txt": b"HEAD\nbody", "c.pdf": b"%PDF", "d.pdf": b"%PDF", "e.html": b"x", "f.md": b"\xff", "g.md": b" "}
@@ -103,6 +130,23 @@ def test_the_stream_reads_page_text_and_fails_files_without_it(spark, tmp_path):
     assert rows(done, "original_filename", "status") == [("a.pdf", "ready"), ("b.pdf", "failed")]
 
 
+def test_a_reader_that_numbers_badly_fails_its_documents(spark):
+    def skips(docs):
+        return ing.segment.chunk_markdown(docs).withColumn("order", F.col("order") * 2)
+
+    def repeats(docs):
+        return ing.segment.chunk_plaintext(docs).withColumn("chunk_id", F.lit("same"))
+
+    files = spark.createDataFrame(
+        [(n, n, 9, b"# A\nb\n# C\nd" if n.endswith("md") else b"HEAD\nx\nTAIL\ny") for n in ("a.md", "b.txt")] + [("c.md", "c.md", 3, b"# A")],
+        "document_id string, filename string, length long, content binary",
+    )
+    done = ing.ingest(files, now(), registry={"markdown": skips, "plain_text": repeats})
+    assert rows(done.documents, "document_id", "status", "error_message") == [
+        ("a.md", "failed", "Chunk ordering is not sequential."), ("b.txt", "failed", "Duplicate chunk_id found."), ("c.md", "ready", None)
+    ]
+
+
 def test_own_reader(spark):
     docs = spark.createDataFrame([("a", "markdown", "x")], "document_id string, format string, text string")
     mine = ing.readers() | {"markdown": lambda d: ing.segment.chunk_plaintext(d)}

@@ -4,6 +4,7 @@ import json
 
 from helpers import rows
 from pyspark.sql import functions as F
+from test_graph import els
 
 from corpusloom.model import type_schema
 from corpusloom.operators.segment import chunk_markdown
@@ -86,6 +87,10 @@ def test_types_extraction_quality_and_answers(spark):
     assert done.failures.count() == 0
     result = done.results.first()
     assert (result.contradictions, result.ambiguities, result.missing_elements) == (1, 1, 5)
+    run = result.metadata
+    assert run.model_id == "primary" and run.document_type == "prd" and run.started_at <= run.completed_at
+    assert run.prompt_versions["suggestion_generation"] == "suggestion-v1"
+    assert run.finding_counts["missing_elements"] == 5
     covered = {f for r in done.suggestions.collect() for f in r.related_finding_ids}
     high = {r.finding_id for r in done.findings.where("severity = 'high'").collect()}
     assert high <= covered
@@ -99,3 +104,23 @@ def test_types_extraction_quality_and_answers(spark):
     ]
     assert rows(said.refs, "ref_pos", "evidence_verified") == [(0, True), (1, False)]
     assert said.failures.count() == 0
+
+
+def test_a_reply_that_never_came_fails_its_document(spark):
+    docs = spark.createDataFrame([("a", "prd"), ("b", "generic")], "document_id string, document_type string")
+    e = els(spark, ("1", "proposito", "Propósito", True)).unionByName(els(spark, ("1", "actor", "zzz", True), doc="b"))
+    reply = "document_id string, step string, content string, error string"
+    every = [(d, step, text, None) for d in "ab" for step, text in (("ambiguity", '{"ambiguities": []}'), ("completeness", "{}"), ("suggestion", '{"suggestions": []}'))]
+    catalogue = type_schema(spark)
+
+    def failures(replies):
+        got = analysis.phase_failures(docs, e, catalogue, spark.createDataFrame(replies, reply))
+        return rows(got, "document_id", "error_phase", "error_message")
+
+    assert failures(every) == []
+    # nothing is asked about the completeness of a generic document; the contradiction call may be missing
+    assert failures([r for r in every if r[:2] != ("b", "completeness")]) == []
+    assert failures([r for r in every if r[:2] != ("a", "completeness")]) == [("a", "analyzing_completeness", "no reply")]
+    assert failures([r for r in every if r[1] != "ambiguity"]) == [(d, "analyzing_ambiguities", "no reply") for d in "ab"]
+    refused = [r for r in every if r[:2] != ("b", "suggestion")] + [("b", "suggestion", None, "auth: key")]
+    assert failures(refused) == [("b", "generating_suggestions", "auth: key")]

@@ -7,26 +7,27 @@ from test_graph import ELS, RELS, els
 from corpusloom.model import MAX_SUGGESTIONS, type_schema
 from corpusloom.operators.context import budget_direct
 from corpusloom.operators import context as cx
+from corpusloom.operators import evidence as ev
 from corpusloom.operators import quality as ql
 from corpusloom.operators.constraints import check_constraints
 
-SUG = "document_id string, suggestion_id string, pos long, description string, category string, priority string, related_finding_ids array<string>, all_evidence_unverified boolean"
+SUG = "document_id string, suggestion_id string, owner string, pos long, description string, category string, priority string, related_finding_ids array<string>, all_evidence_unverified boolean"
 FND = (
-    "document_id string, finding_id string, ord array<bigint>, type string, description string, severity string, "
+    "document_id string, finding_id string, owner string, ord array<bigint>, type string, description string, severity string, "
     "affected_element_ids array<string>, involves_unverified_elements boolean, all_evidence_unverified boolean, from_explicit_relationship boolean"
 )
-MISS = "document_id string, finding_id string, ord array<bigint>, classification string, expected_element string, description string, severity string, schema_reference string"
+MISS = "document_id string, finding_id string, owner string, ord array<bigint>, classification string, expected_element string, description string, severity string, schema_reference string"
 
 
 def sugs(spark, priorities, related=lambda i: []):
     return spark.createDataFrame(
-        [("a", f"s{i:02d}", i, "d", "clarity", p, related(i), False) for i, p in enumerate(priorities)], SUG
+        [("a", f"s{i:02d}", f"s:{i}", i, "d", "clarity", p, related(i), False) for i, p in enumerate(priorities)], SUG
     )
 
 
 def finding(spark, *items):
     return spark.createDataFrame(
-        [("a", id_, [0, 0], type_, "words " * 80, severity, ids, flag, False, False) for id_, type_, severity, ids, flag in items], FND
+        [("a", f[0], f"f:{i}", [0, i], f[1], "words " * 80, f[2], f[3], f[4], False, False) for i, f in enumerate(items)], FND
     )
 
 
@@ -43,7 +44,7 @@ def test_long_suggestion_lists_are_cut_by_priority(spark):
 
 def test_high_findings_get_a_suggestion(spark):
     found = finding(spark, ("c1", "contradiction", "high", [], False), ("m1", "ambiguity", "high", [], False), ("l1", "ambiguity", "low", [], False))
-    gaps = spark.createDataFrame([("a", "g1", [0, 0], "missing", "x", "gap", "high", "prd")], MISS)
+    gaps = spark.createDataFrame([("a", "g1", "g:1", [0, 0], "missing", "x", "gap", "high", "prd")], MISS)
     out = ql.cover_high_findings(sugs(spark, ["low"], lambda i: ["m1"]), found, gaps).where("priority = 'high'")
     assert rows(out, "category", "related_finding_ids") == [("completeness", ["g1"]), ("consistency", ["c1"])]
     assert out.agg(F.max(F.length("description"))).first()[0] == 300
@@ -58,6 +59,24 @@ def test_unverified_flag_is_only_raised(spark):
     assert got == [("f1", True), ("f2", False), ("f3", True)]
 
 
+def test_equal_ids_keep_their_own_flags_references_and_covers(spark):
+    e = els(spark, ("e1", "actor", "A", True), ("e2", "actor", "B", False))
+    found = finding(spark, ("x", "ambiguity", "high", ["e1"], False), ("x", "ambiguity", "high", ["e2"], False))
+    assert rows(ql.flag_unverified(found, e), "owner", "involves_unverified_elements") == [("f:0", False), ("f:1", True)]
+    gaps = spark.createDataFrame([], MISS)
+    covered = ql.cover_high_findings(sugs(spark, []), found, gaps)
+    assert rows(covered, "suggestion_id", "owner") == [(covered.first().suggestion_id, "for:f:0"), (covered.first().suggestion_id, "for:f:1")]
+    same = sugs(spark, ["low", "low"]).withColumn("suggestion_id", F.lit("x"))
+    ref = "document_id string, owner string, owner_id string, ref_pos int, chunk_id string, page int, section string, evidence string, evidence_verified boolean"
+    refs = spark.createDataFrame([("a", "s:1", "x", 0, "c9", None, None, "own", False), ("a", "f:0", "x", 0, "c8", None, None, "other", False)], ref)
+    chunks = spark.createDataFrame([("a", "c0", "first text", (None, None), 0)], "document_id string, chunk_id string, text string, structural_context struct<page int, section string>, order int")
+    got = ql.suggest(same, refs, found.limit(0), gaps, chunks)
+    assert rows(got.refs, "owner", "chunk_id") == [("s:0", "c0"), ("s:1", "c9")]
+    checked = got.refs.unionByName(refs.where("owner = 'f:0'")).withColumn("evidence_verified", F.col("chunk_id") == "c0")
+    flagged = ev.all_evidence_unverified(got.suggestions, checked, ql.OWNER_KEY)
+    assert rows(flagged, "owner", "all_evidence_unverified") == [("s:0", False), ("s:1", True)]
+
+
 def test_expectations(spark):
     docs = spark.createDataFrame([("a", "prd"), ("g", "generic"), ("e", "prd"), ("u", "memo")], "document_id string, document_type string")
     e = els(spark, ("1", "actor", "Propósito general", True)).unionByName(els(spark, ("1", "proposito", "zzz", True), doc="u"))

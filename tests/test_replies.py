@@ -165,7 +165,7 @@ def test_fallback_and_credentials(spark):
 
 def test_prompts_are_dealt_out(spark):
     asked = prompts(spark, *[("primary", f"p{i}") for i in range(1000)])
-    done = completion.complete(asked, lambda model, prompt, temperature: prompt, partitions=16, concurrency=4)
+    done = completion.complete(asked, lambda model, prompt, temperature: prompt, calls=completion.Calls(16, 4))
     got = done.select("question_id", "content", F.spark_partition_id().alias("task")).collect()
     assert {(r.question_id, r.content) for r in got} == {(f"q{i}", f"p{i}") for i in range(1000)}
     assert len(got) == 1000 and len({r.task for r in got}) == 16
