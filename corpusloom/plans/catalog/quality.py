@@ -169,7 +169,7 @@ def finding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_ALL} SELECT document_id, finding_id, description, category FROM un")
 def uncovered_high_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ql.uncovered_high_findings(findings(spark, sf_dir), gaps(spark, sf_dir), suggestions(spark, sf_dir))
+    return ql.uncovered_high_findings(findings(spark, sf_dir), gaps(spark, sf_dir), suggestions(spark, sf_dir)).drop("owner")
 
 
 @query(f"WITH {_ALL} SELECT document_id, suggestion_id, pos, description, category, priority, related FROM cov")

@@ -247,7 +247,7 @@ def assess_quality_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     CASE WHEN b.document_id IS NULL THEN 'model-a' END AS model_id, CASE WHEN b.document_id IS NULL THEN n.document_type END AS document_type,
     CASE WHEN b.document_id IS NULL THEN 120 END AS seconds, CASE WHEN b.document_id IS NULL THEN CAST(s + m AS BIGINT) END AS contradictions,
     CASE WHEN b.document_id IS NULL THEN CAST(least(20, said + s + mh + gh) AS BIGINT) END AS suggestions,
-    CASE WHEN b.document_id IS NULL THEN 0.1 END AS temperature
+    CASE WHEN b.document_id IS NULL THEN CAST(0.1 AS DOUBLE) END AS temperature
     FROM d JOIN n USING (document_id) LEFT JOIN bad b ON b.document_id = d.document_id""")
 def quality_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What stored results say about their run; failed ones say nothing."""

@@ -91,7 +91,7 @@ def _write_part(rows: DataFrame, path: str, name: str, buckets: int, schema: Str
     part = f"part=p{uuid.uuid4().hex}"
     placed = rows.withColumn("bucket", bucket(KEY, buckets)).hint("rebalance", "bucket")
     placed.sortWithinPartitions("bucket", KEY).write.partitionBy("bucket").parquet(f"{path}/{name}/{part}")
-    back = rows.sparkSession.read.schema(StructType(schema.fields).add("bucket", IntegerType())).parquet(f"{path}/{name}/{part}")
+    back = rows.sparkSession.read.schema(StructType(list(schema.fields)).add("bucket", IntegerType())).parquet(f"{path}/{name}/{part}")
     return {str(r["bucket"]): [part] for r in back.select("bucket").distinct().collect()}
 
 

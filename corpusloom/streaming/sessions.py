@@ -132,11 +132,11 @@ def _advance(rows: DataFrame, out: str, step: int, delay: str, buckets: int) ->
 
 # --- Expiry -------------------------------------------------------------------------------------------------------
 
-HOUR = 3600
+SPAN = 6 * 3600
 
 
 def _due(expires_at: str) -> Column:
-    return F.floor(F.unix_timestamp(expires_at) / HOUR).cast("long")
+    return F.floor(F.unix_timestamp(expires_at) / SPAN).cast("long")
 
 
 def expiry_stream(
@@ -153,8 +153,8 @@ def expiry_stream(
     batch if it has expired by then. Of several uploads of a document that are still waiting, the one that expires last
     counts; one that comes after the document was told counts anew. A document without `expires_at` never expires.
 
-    Uploads wait in folders by the hour they are due; a batch opens the folders of hours that have come since the last
-    one. Only what these hold is then looked for among later hours.
+    Uploads wait in folders by the quarter of a day in which they are due; a batch opens the folders of quarters that have
+    come since the last one. Only what these hold is then looked for among later ones.
     """
 
     def step(batch: DataFrame, number: int) -> None:
@@ -172,12 +172,12 @@ def _tell(uploads: DataFrame, out: str, number: int, now: Callable[[], float] |
     before = clocks.agg(F.max("clock")).first()[0] or 0
     seen = uploads.select(F.max(F.unix_micros("upload_timestamp"))).first()[0] if now is None else int(now() * 1_000_000)
     clock = max(before, seen or 0)
-    began, at = before // (HOUR * 1_000_000), F.timestamp_micros(F.lit(clock))
+    began, at = before // (SPAN * 1_000_000), F.timestamp_micros(F.lit(clock))
     earlier = _read(spark, f"{out}/told", f"{TOLD}, batch LONG, due LONG").where(F.col("batch") < number)
     earlier = earlier.select("document_id", "expires_at", "due")
     once = ["document_id", "expires_at", "due"]
     fresh = (F.col("due") >= began) | (F.col("batch") == number)
-    hit = waiting.where((F.col("due") <= clock // (HOUR * 1_000_000)) & fresh & (F.col("expires_at") < at))
+    hit = waiting.where((F.col("due") <= clock // (SPAN * 1_000_000)) & fresh & (F.col("expires_at") < at))
     last = hit.groupBy("document_id").agg(F.max("expires_at").alias("expires_at")).withColumn("due", _due("expires_at"))
     last = last.join(earlier, once, "left_anti")
     open_ = waiting.where(F.col("due") >= began).select(*once).join(earlier, once, "left_anti")
