@@ -44,3 +44,50 @@ def test_top_k_is_cut_before_the_shuffle(spark, sf_dir):
     text = plan(spark, sf_dir, "rank_relevant")
     assert "WindowGroupLimit" in text and "Partial" in text
     assert text.count("WindowGroupLimit") >= 2
+
+
+def exchanges(df):
+    text = df._jdf.queryExecution().executedPlan().toString()
+    return sum(line.lstrip(" +-:*(0123456789)").startswith(("Exchange", "BroadcastExchange", "ReusedExchange")) for line in text.splitlines())
+
+
+def test_context_suggestions_and_outline_shuffle_little(spark, sf_dir):
+    from corpusloom.operators import quality as ql
+    from corpusloom.plans import corpus
+    from corpusloom.plans.catalog import quality as cat
+    from corpusloom.session import materialize
+
+    assert 0 < exchanges(entry.queries()["build_context"](spark, sf_dir)) <= 12
+    assert exchanges(entry.queries()["section_tree"](spark, sf_dir)) == 0
+    found, gaps = materialize(cat.findings(spark, sf_dir), "f"), materialize(cat.gaps(spark, sf_dir), "g")
+    out = ql.suggest(cat.suggestions(spark, sf_dir), cat.suggestion_refs(spark, sf_dir), found, gaps, corpus.stored(spark, sf_dir, "chunks"))
+    assert 0 < exchanges(out.suggestions) <= 12 and 0 < exchanges(out.refs) <= 12
+
+
+def test_judged_replies_are_parsed_once(spark, sf_dir):
+    from corpusloom.operators import replies as rs
+    from corpusloom.plans import corpus
+    from corpusloom.session import materialize
+
+    responses = corpus.stored(spark, sf_dir, "responses")
+    judged = materialize(rs.judge(responses), "judged")
+    for parse in (rs.parse_elements, rs.parse_contradictions, rs.parse_ambiguities, rs.parse_suggestions, rs.parse_answers):
+        for df in parse(judged):
+            text = df._jdf.queryExecution().executedPlan().toString()
+            assert "parse_json" not in text and text.count("Scan parquet") == 1
+        plain = parse(responses)[0].collect()
+        assert sorted(map(str, plain)) == sorted(map(str, parse(judged)[0].collect()))
+
+
+def test_replies_need_their_setting(spark, sf_dir):
+    from corpusloom.operators import replies as rs
+    from corpusloom.plans import corpus
+
+    name = "spark.sql.variant.allowDuplicateKeys"
+    responses = corpus.stored(spark, sf_dir, "responses")
+    spark.conf.set(name, "false")
+    try:
+        with pytest.raises(ValueError, match=name):
+            rs.parse_types(responses)
+    finally:
+        spark.conf.set(name, "true")

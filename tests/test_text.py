@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import files as ff
 from corpusloom.functions import text as tx
+from corpusloom.operators import profile as pf
 
 SPACES = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 
@@ -125,3 +127,39 @@ def test_small_rules(spark):
 def test_question_length(spark):
     got = [one(spark, ff.valid_question("v"), v) for v in (None, "", " ", "x" * 1000, "x" * 1001)]
     assert got == [False, False, True, True, False]
+
+
+def test_outline_of_many_headings(spark):
+    """More headings than one block of the fold, and levels that skip."""
+    rng = random.Random(8)
+    levels = [rng.randint(1, 6) for _ in range(700)]
+    docs = spark.createDataFrame([("a", "\n".join("#" * k + f" t{i}" for i, k in enumerate(levels))), ("b", "no heading")], "document_id string, text string")
+    want = [next((j for j in range(i - 1, -1, -1) if levels[j] < k), None) for i, k in enumerate(levels)]
+    got = pf.section_tree(docs).orderBy("line").collect()
+    assert [(r.document_id, r.line, r.level, r.title, r.parent_line) for r in got] == [
+        ("a", i, k, f"t{i}", want[i]) for i, k in enumerate(levels)
+    ]
+
+
+def test_near_sections_equal_brute_force(spark):
+    rng = random.Random(9)
+    base = [[rng.choice("abcdefghij") * rng.randint(1, 4) for _ in range(rng.randint(3, 60))] for _ in range(30)]
+    rows = []
+    for i, words in enumerate(base):
+        edited = list(words)
+        for _ in range(rng.randint(0, 3)):
+            edited[rng.randrange(len(edited))] = "x" + str(rng.random())
+        for order, part in ((i * 3, words), (i * 3 + 1, edited), (i * 3 + 2, words if i % 2 else words[::-1])):
+            rows.append((f"d{i % 3}", f"# heading {order}\n" + " ".join(part), order))
+    chunks = spark.createDataFrame(rows, "document_id string, text string, order int")
+    seen, want = {}, set()
+    for d, text, order in sorted(rows, key=lambda r: r[2]):
+        seen.setdefault((d, text.split("\n", 1)[1]), order)
+    runs = lambda t: {" ".join(t.split()[i : i + 5]) for i in range(max(len(t.split()) - 4, 1))}
+    found = [(d, order, runs(t)) for (d, t), order in seen.items()]
+    for d, order, a in found:
+        for e, near, b in found:
+            if d == e and order > near and len(a & b) / len(a | b) >= 0.8:
+                want.add((d, order, near))
+    got = {tuple(r)[:3] for r in pf.near_duplicate_sections(chunks).collect()}
+    assert want and len(got & want) >= 0.9 * len(want) and got <= want
