@@ -10,7 +10,7 @@
    suffixes that tie over a whole period by the ranks of a difference cover sample. For any two positions the cover (a
    perfect difference set) holds one small shift that brings both to sampled ones, whose ranks were computed before, by
    doubling, to a depth of `least` at least. Neighbours in this order that agree in `least` bytes repeat.
-4. A bucket of more than `HOT` contexts is cut into pieces by the context's hash. Each piece is sorted alone and hands on
+4. A bucket of more than `HOT` distinct contexts is cut into pieces by the context's hash. Each piece is sorted alone and hands on
    the digest of one string of each class; classes of one string that another piece holds too repeat as well.
 
 The result is exact: hashes only decide what is compared, except that contexts and strings count as equal by 128 bits of
@@ -32,11 +32,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import col, map_slices, nested, stored
+from corpusloom.llm.common import col, discard, map_slices, nested, stored
 
 LEAST = 400
 # Starts of a long text that are looked at together; bytes of a block; contexts of a bucket in one piece.
-PIECE, BLOCK, HOT = 1 << 19, 1 << 19, 1024
+PIECE, BLOCK, HOT = 1 << 19, 1 << 19, 4096
 # A cover is a perfect difference set modulo p**2 + p + 1.
 PRIMES = (5, 3, 2)
 
@@ -376,18 +376,27 @@ def _cut_spans(joined: DataFrame, text: str, least: int) -> DataFrame:
     return joined.select("row", "starts").mapInArrow(run, schema)
 
 
-def _resolved(occurrences: DataFrame) -> DataFrame:
-    """Occurrences whose anchor repeats, with `settled` and, for one copy of each distinct context to be sorted, `wanted`."""
+def _resolved(occurrences: DataFrame, hot: int) -> tuple[DataFrame, DataFrame]:
+    """Occurrences whose anchor repeats, with `settled` and, for one copy of each distinct context to be sorted, `wanted`.
+
+    Also (anchor, pieces) of the buckets with more than `hot` distinct contexts.
+    """
+    # copies count alike, so what makes a bucket large is the number of distinct contexts, not of occurrences
     anchor = occurrences.groupBy("anchor").agg(
         F.count("*").alias("held"), (F.min("context") == F.max("context")).alias("alone")
     )
-    shared = stored(occurrences.join(anchor.where("held > 1"), "anchor"), "suffix-shared")
+    anchor = stored(anchor.where("held > 1").select("anchor", "alone"), "suffix-anchors")
+    shared = stored(occurrences.join(anchor, "anchor"), "suffix-shared")
     place = F.struct("k1", "k2", "low")
     context = shared.where("NOT alone").groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(place).alias("one"))
+    context = stored(context, "suffix-contexts")
     known = shared.join(context, ["anchor", "context"], "left")
     settled = F.col("alone") | (F.col("n") > 1)
     wanted = ~F.col("alone") & (F.col("one") == place)
-    return stored(known.select(*OCCURRENCE, "held", settled.alias("settled"), wanted.alias("wanted")), "suffix-known")
+    known = stored(known.select(*OCCURRENCE, settled.alias("settled"), wanted.alias("wanted")), "suffix-known")
+    discard(anchor, shared)
+    pieces = F.ceil(F.count("*") / hot).alias("pieces")
+    return known, stored(context.groupBy("anchor").agg(pieces).where("pieces > 1"), "suffix-pieces")
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", least: int = LEAST, block: int = BLOCK, hot: int = HOT) -> DataFrame:
@@ -397,12 +406,12 @@ def remove_repeats(docs: DataFrame, text: str = "text", least: int = LEAST, bloc
     bare = docs.select(*[v.alias(k) for k, v in key.items()], value.cast("binary").alias("text"))
     schema = ", ".join(f"{c} bigint" for c in OCCURRENCE)
     occurrences = map_slices(bare.where(F.octet_length("text") >= least), lambda part: _contexts_of(part, least), schema)
-    known = _resolved(occurrences)
+    known, cut = _resolved(occurrences, hot)
 
     source = nested(docs, **key)
-    pieces = F.ceil(F.col("held") / hot)
+    pieces = F.coalesce("pieces", F.lit(1).cast("long"))
     wish = F.struct("anchor", F.pmod("context", pieces).alias("piece"), pieces.alias("pieces"), "settled", "low", "high")
-    wishes = known.where("wanted").groupBy("k1", "k2").agg(F.collect_set(wish).alias("wanted"))
+    wishes = known.where("wanted").join(cut, "anchor", "left").groupBy("k1", "k2").agg(F.collect_set(wish).alias("wanted"))
     contexts = _cut_contexts(source.join(wishes, ["k1", "k2"]), text, least)
     made = stored(_sorted_blocks(contexts, least, block), "suffix-found")
 
