@@ -8,7 +8,7 @@ clauses, or of having none.
 
 Only the weights are learned: the lexicon from label folds 1 to 3 of a bounded sample (`max_toxic`, `max_clean` rows), the
 scope weights from fold 4, so that entries that looked toxic by chance get weights from rows that did not choose them. Fold
-0 is held out. Word counts for the lexicon are Spark aggregates; the driver sees at most `max_entries` entries. Scoring
+0 is held out. Word counts for the lexicon are Spark aggregates; the driver sees the entries that the bounded sample bears out. Scoring
 is one pass over whole texts without a shuffle.
 """
 
@@ -28,7 +28,6 @@ from corpusloom.llm.common import col, map_slices, stored
 
 MAX_TOXIC = 20_000
 MAX_CLEAN = 60_000
-MAX_ENTRIES = 20_000
 LEAST_ROWS = 3  # toxic rows an entry needs
 LEAST_WEIGHT = 1.8
 STRENGTHS = (1.8, 3.0, 4.5)  # bounds of the strength classes
@@ -145,7 +144,6 @@ def fit(
     label: str = "toxic",
     max_toxic: int = MAX_TOXIC,
     max_clean: int = MAX_CLEAN,
-    max_entries: int = MAX_ENTRIES,
 ) -> Model:
     """Learn the weights. Without rows of both labels the model has no entry, and scores are those of its prior."""
     rows = stored(training_rows(docs, labels, text, doc_id, label, max_toxic, max_clean), "labelled")
@@ -171,7 +169,8 @@ def fit(
     entries = entries.where("entry IS NOT NULL").groupBy("entry").agg(F.sum("n_toxic").alias("t"), F.sum("n").alias("n"))
     weight = F.log(F.col("t") / n_toxic) - F.log((F.col("n") - F.col("t") + 3) / (n_clean + 6))
     chosen = entries.where(F.col("t") >= LEAST_ROWS).withColumn("weight", weight).where(F.col("weight") >= LEAST_WEIGHT)
-    lexicon = {r["entry"]: r["weight"] for r in chosen.orderBy(F.desc("t"), "entry").limit(max_entries).collect()}
+    # every entry that qualifies; each needs several rows of the bounded sample
+    lexicon = {r["entry"]: r["weight"] for r in chosen.collect()}
     return _weigh(rows.where("fold = 4"), Model(lexicon=lexicon), (n_toxic, n_clean))
 
 
