@@ -31,7 +31,6 @@ SAMPLE_DOCS = 2000
 ROUNDS = 3
 MAX_PIECE = 12
 MAX_WORD = 40
-MAX_LANGUAGES = 500
 FLOOR = 1e-9  # probability of a piece never seen in a language
 STRANGE = 1e-12  # probability of a character outside the vocabulary
 UNKNOWN = "und"
@@ -181,7 +180,8 @@ def fit(
         col(text).cast("string").alias("text"), col(lang).cast("string").alias("lang"), held_out(col(doc_id)).alias("out"),
         F.pmod(F.xxhash64(F.lit("sample"), col(doc_id)), F.lit(1_000_000)).alias("draw"),
     ).where("lang IS NOT NULL AND NOT out")
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    # one row for each language that occurs
+    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     share = {r["lang"]: min(1_000_000, int(1_000_000 * sample_docs / r["count"]) + 1) for r in sizes}
     size = len(vocabulary(name))
     if not share:

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 import zlib
 
@@ -245,3 +246,16 @@ def test_scope_machine():
 def test_schema_types(spark, sf_dir):
     done = queries.op10_language_id(spark, sf_dir)
     assert isinstance(done.schema["score"].dataType, T.DoubleType)
+
+
+def test_any_number_of_languages_can_be_told(spark):
+    """600 languages of two documents each; every one is learned and predicted, those of few rows too."""
+    draw = random.Random(4)
+    rows = []
+    for k in range(600):
+        own = "".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9))
+        rows += [(2 * k + i, f"{own} {own} {own}", f"l{k:03d}") for i in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(docs)
+    learned = {lang for i, _, lang in rows if zlib.crc32(str(i).encode()) % 5}
+    assert set(model.languages) == learned and len(learned) > 550
