@@ -4,7 +4,8 @@ A document's tokens are its text's ids and the end id. Parts of 2048 ids fill a
 smallest tier (256, 512, 1024, 2048) that holds it. From the longest on, each opens a window of its tier; the gap is
 filled with whole shorter parts, longest first, and when none fits, with a cut from the shortest part, whose remainder goes
 back to its own tier. So windows are exactly as long as their tier. Step groups hold windows of one tier with the same
-number of tokens in all (`STEP_TOKENS`), however long the windows are.
+number of tokens in all (`STEP_TOKENS`), however long the windows are. A piece's own `step_group` counts within its task;
+`step_groups` numbers the windows of a packed table over all tasks, by the tokens they really hold.
 
 Each task packs its own rows, chunk by chunk, and hands parts left over to its next chunk; nothing is shuffled, and a
 rerun task makes the same windows. The last open window of a task is cut at powers of two, so nothing is padded.
@@ -20,6 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corpusloom.llm.common import col, slices
 from corpusloom.llm.tokens import encode
@@ -177,6 +179,24 @@ def _batch(pieces: list[tuple], kept: pa.Table, tokens: list[np.ndarray]) -> pa.
     return pa.RecordBatch.from_arrays(columns, names=[*own.schema.names, *names])
 
 
+def step_groups(pieces: DataFrame, step_tokens: int = STEP_TOKENS) -> DataFrame:
+    """(sequence_id, tier, n_tokens, step_group) of a stored table of pieces: the windows of a tier, dealt to groups in order.
+
+    A group takes the windows that begin in its stretch of `step_tokens`, so its tokens differ from that by less than one
+    window; only the last group of a tier may be short. Tokens are summed within a task first, and one row for each
+    (tier, task) takes part in the pass over a tier.
+    """
+    windows = pieces.groupBy("sequence_id", "tier").agg(F.sum("length").alias("n_tokens"))
+    windows = windows.withColumn("_task", F.shiftright("sequence_id", 32))
+    totals = windows.groupBy("tier", "_task").agg(F.sum("n_tokens").alias("_total"))
+    over = Window.partitionBy("tier").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select("tier", "_task", F.coalesce(F.sum("_total").over(over), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("tier", "_task").orderBy("sequence_id").rowsBetween(Window.unboundedPreceding, -1)
+    windows = windows.withColumn("_inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
+    group = F.floor((F.col("_before") + F.col("_inside")) / step_tokens).cast("long").alias("step_group")
+    return windows.join(before, ["tier", "_task"]).select("sequence_id", "tier", "n_tokens", group)
+
+
 def digest_columns(pieces: DataFrame) -> DataFrame:
     """The pieces with a checksum of their ids in place of the ids."""
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")

@@ -259,3 +259,19 @@ def test_any_number_of_languages_can_be_told(spark):
     model = language_id.fit(docs)
     learned = {lang for i, _, lang in rows if zlib.crc32(str(i).encode()) % 5}
     assert set(model.languages) == learned and len(learned) > 550
+
+
+def test_step_groups_are_balanced_over_many_tasks(spark):
+    draw = random.Random(6)
+    rows = [(i, " ".join("word" for _ in range(draw.choice([3, 40, 200, 700, 3000])))) for i in range(1600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(32)
+    pieces = packing.pack(docs, doc_id=F.col("doc_id"))
+    groups = packing.step_groups(pieces.select("sequence_id", "tier", "length"))
+    tokens = collections.defaultdict(int)
+    for r in groups.collect():
+        tokens[r.tier, r.step_group] += r.n_tokens
+    for tier in packing.TIERS:
+        sizes = [n for (t, _), n in sorted(tokens.items()) if t == tier]
+        assert sorted(g for t, g in tokens if t == tier) == list(range(len(sizes)))
+        assert all(abs(n - packing.STEP_TOKENS) < tier for n in sizes[:-1])
+    assert len(tokens) > 8
