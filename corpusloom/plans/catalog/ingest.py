@@ -452,3 +452,19 @@ def purge_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
         left = store.read(spark, path, name).groupBy("document_id").agg(F.count("*").alias(out))
         every = every.join(left, "document_id", "left")
     return every.na.fill(0, ["chunks_left", "events_left"])
+
+
+@query("""SELECT document_id, CASE doc_id % 5 WHEN 1 THEN 'invalid_encoding' WHEN 2 THEN 'invalid_encoding' WHEN 3 THEN 'invalid_encoding' END AS error_code FROM d""")
+def check_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stray byte, a cut sequence, a surrogate, and good text with letters of several bytes."""
+    doc = F.col("doc_id")
+    tail = F.when(doc % 5 == 1, "FF").when(doc % 5 == 2, "C3").when(doc % 5 == 3, "EDA080").when(doc % 5 == 4, "C3A9E282AC").otherwise("")
+    files = corpus.raw_documents(spark, sf_dir).select(
+        "document_id",
+        F.concat(F.lit("doc-"), "document_id", F.lit(".txt")).alias("filename"),
+        F.lit(100).cast("long").alias("length"),
+        F.concat(F.col("text").cast("binary"), F.unhex(tail)).alias("content"),
+    )
+    checked = ing.validate_files(files)
+    accepted = checked.accepted.select("document_id", F.lit(None).cast("string").alias("error_code"))
+    return accepted.unionByName(checked.rejected.select("document_id", "error_code"))

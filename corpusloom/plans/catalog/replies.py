@@ -341,6 +341,24 @@ def type_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("document_id", "tier", "prompt_version", F.md5("prompt").alias("digest"))
 
 
+@query("""SELECT document_id, md5('[' || string_agg(to_json({'id': id, 'type': type, 'name': name, 'verified': verified}), ',' ORDER BY pos) || ']') AS digest
+    FROM el GROUP BY document_id""")
+def element_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The JSON list of a document's elements as prompts carry it: the chosen fields in order, and nothing else."""
+    listed = prompts.to_json_list(els(spark, sf_dir), ["document_id"], ["pos"], ["id", "type", "name", "verified"], "payload")
+    return listed.select("document_id", F.md5("payload").alias("digest"))
+
+
+@query("""WITH li AS (SELECT document_id, '[' || string_agg(to_json({'id': id, 'type': type, 'name': name, 'content_preview': substr(content, 1, 100)}), ',' ORDER BY pos)
+    || ']' AS items FROM el GROUP BY document_id)
+    SELECT question_id, q.document_id, 'light' AS tier, md5('Score from 0 to 10 how much each element helps to answer the question. Give [{"id", "score"}]. '
+    || 'Reply with JSON only.' || chr(10) || chr(10) || 'Question:' || chr(10) || question || chr(10) || chr(10) || 'Elements:' || chr(10) || items) AS digest
+    FROM qu q JOIN li ON li.document_id = q.document_id""")
+def scoring_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = prompts.scoring_prompts(corpus.stored(spark, sf_dir, "questions"), els(spark, sf_dir))
+    return out.select("question_id", "document_id", "tier", F.md5("prompt").alias("digest"))
+
+
 @query(f"""{_TYPE_PROMPT} SELECT document_id, CASE WHEN length(prompt) % 5 = 0 THEN 'fallback' ELSE 'light' END AS model_id,
     CASE WHEN length(prompt) % 7 <> 0 THEN CASE WHEN length(prompt) % 5 = 0 THEN 'fallback' ELSE 'light' END || ':' || length(prompt) END AS content,
     CASE WHEN length(prompt) % 7 = 0 THEN 'auth: key' END AS error FROM p""")
