@@ -130,15 +130,16 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def _sketched_again(rests: DataFrame) -> DataFrame:
-    """(scope, key, n_words, rest) to (scope, key, n_words, sketch) of the k-mers that are left."""
+    """(scope, key, n_words, root, rest) to the same with the sketch of the k-mers that are left."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            runs = [np.array(r, np.int64).view(np.uint64) for r in batch.column(3).to_pylist()]
-            columns = [batch.column(0), batch.column(1), batch.column(2), _sketch_lists(runs)]
-            yield pa.RecordBatch.from_arrays(columns, names=["scope", "key", "n_words", "sketch"])
+            runs = [np.array(r, np.int64).view(np.uint64) for r in batch.column(4).to_pylist()]
+            names = ["scope", "key", "n_words", "root", "sketch"]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], _sketch_lists(runs)], names=names)
 
-    return rests.mapInArrow(run, "scope bigint, key bigint, n_words int, sketch array<bigint>")
+    rows = rests.select("scope", "key", "n_words", "root", "rest")
+    return rows.mapInArrow(run, "scope bigint, key bigint, n_words int, root bigint, sketch array<bigint>")
 
 
 def edits_within(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
@@ -255,24 +256,19 @@ BUCKET = ["scope", "value"]
 
 
 def _buckets(sketched: DataFrame) -> DataFrame:
-    """(scope, value, key, n_words, held) of buckets with at least two members; `held` is their number."""
-    rows = sketched.select("scope", "key", "n_words", F.explode("sketch").alias("value"))
+    """(scope, value, key, n_words, root, held) of buckets with at least two members; `held` is their number."""
+    rows = sketched.select("scope", "key", "n_words", "root", F.explode("sketch").alias("value"))
     shared = rows.groupBy(*BUCKET).agg(F.count("*").alias("held")).where("held > 1")
     return stored(rows.join(shared, BUCKET), "members")
 
 
-def _led(members: DataFrame, roots: DataFrame | None, threshold: float) -> DataFrame:
+def _led(members: DataFrame, threshold: float) -> DataFrame:
     """(scope, a, b, n_words, busy): members with the leaders they have to meet, once in each scope.
 
     A pair is busy if others of its bucket meet that leader too.
     """
     width = math.log(1 / threshold)
     banded = members.withColumn("band", F.floor(F.log(F.col("n_words")) / width + 1e-9))
-    if roots is not None:
-        banded = banded.join(roots, banded["key"] == roots["node"], "left").drop("node")
-        banded = banded.withColumn("root", F.coalesce("root", "key"))
-    else:
-        banded = banded.withColumn("root", F.col("key"))
     least = F.min(F.struct("n_words", "key", "root")).alias("head")
     heads = banded.groupBy(*BUCKET, "band").agg(least)
     heads = heads.select(*BUCKET, "band", F.col("head.n_words").alias("n_b"), F.col("head.key").alias("b"), F.col("head.root").alias("root_b"))
@@ -306,7 +302,9 @@ def near_duplicate_links(docs: DataFrame, threshold: float = SIMILARITY) -> Data
     """
     made = sketches(docs).dropDuplicates(["key"]).withColumn("number", F.monotonically_increasing_id())
     made = stored(made, "sketches")
-    members = _buckets(made.select(F.lit(0).cast("long").alias("scope"), F.col("number").alias("key"), "n_words", "sketch"))
+    number = F.col("number")
+    first = made.select(F.lit(0).cast("long").alias("scope"), number.alias("key"), "n_words", number.alias("root"), "sketch")
+    members = _buckets(first)
     # one row of each text that takes part; equal rows of one id are told apart only here
     some = members.select(F.col("key").alias("number")).distinct()
     numbers = stored(made.select("key", "number").join(some, "number", "left_semi"), "numbers")
@@ -316,7 +314,7 @@ def near_duplicate_links(docs: DataFrame, threshold: float = SIMILARITY) -> Data
     texts = stored(texts.select(F.col("number").alias("key"), "text"), "texts")
     roots = rests = None
     while True:
-        led = stored(_led(members, roots, threshold), "led")
+        led = stored(_led(members, threshold), "led")
         discard(members)
         pairs = led.groupBy("a", "b").agg(F.max("busy").alias("busy"))
         judged = stored(verify(pairs, texts, threshold), "judged")
@@ -329,7 +327,9 @@ def near_duplicate_links(docs: DataFrame, threshold: float = SIMILARITY) -> Data
         failed = failed.where(F.size("rest") > 0).select(scope, F.col("a").alias("key"), "n_words", "rest")
         rooted = failed.join(roots, F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "key"))
         open_ = rooted.groupBy("scope").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
-        fresh = stored(failed.join(open_.select("scope"), "scope", "left_semi"), "rests")
+        # a text's root is looked up here, once in each group, and not for each of its buckets
+        rooted = rooted.select("scope", "key", "n_words", "root", "rest")
+        fresh = stored(rooted.join(open_.select("scope"), "scope", "left_semi"), "rests")
         discard(led, judged, rests)
         rests = fresh
         members = _buckets(_sketched_again(rests))
