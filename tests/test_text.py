@@ -163,3 +163,17 @@ def test_near_sections_equal_brute_force(spark):
                 want.add((d, order, near))
     got = {tuple(r)[:3] for r in pf.near_duplicate_sections(chunks).collect()}
     assert want and len(got & want) >= 0.9 * len(want) and got <= want
+
+
+def test_only_keys_and_ids_of_sections_meet(spark):
+    """No feature vector is shuffled, and a large document's equal-sized sections are all found."""
+    rng = random.Random(10)
+    words = [[f"w{rng.randrange(10**6)}" for _ in range(60)] for _ in range(40)]
+    rows = [("a", " ".join(w), i) for i, w in enumerate(words)] + [("a", " ".join([*w[:-1], "end"]), 100 + i) for i, w in enumerate(words)]
+    rows += [("b", " ".join(words[0]), 0), (None, " ".join(words[0]), 0)]
+    chunks = spark.createDataFrame(rows, "document_id string, text string, order int")
+    out = pf.near_duplicate_sections(chunks)
+    assert sorted((r.document_id, r.order, r.near_order) for r in out.collect()) == [("a", 100 + i, i) for i in range(40)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    keyed = [line for line in plan.splitlines() if "Exchange hashpartitioning(document_id" in line and "key#" in line]
+    assert keyed and "datasetA" not in plan and "entry#" not in plan
