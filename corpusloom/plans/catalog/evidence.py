@@ -41,7 +41,8 @@ def match_any_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
     coalesce(in_any, false) AS evidence_verified FROM el LEFT JOIN m ON m.document_id = el.document_id AND m.chunk_id = el.chunk_id
     AND m.evidence = {_N.format('el.evidence')}""")
 def verify_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = ev.verify_evidence(refs(spark, sf_dir), _chunks(spark, sf_dir), fuzzy=False)
+    settle = lambda df: materialize(df, "exact")
+    out = ev.verify_evidence(refs(spark, sf_dir), _chunks(spark, sf_dir), fuzzy=False, settle=settle)
     return out.select("document_id", "pos", "match", "evidence_verified")
 
 

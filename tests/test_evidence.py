@@ -152,3 +152,29 @@ def test_one_document_of_many_chunks_makes_rows_in_proportion(spark):
     assert ev.find_by_fingerprint(texts, chunks, settle).distinct().count() == 12_000
     marks, tried = (df.count() for df in kept)
     assert marks <= 12_000 * 6 and tried == 12_000
+
+
+def test_few_evidences_are_not_hashed(spark, monkeypatch):
+    """Documents with few evidences meet their chunks directly; both ways give the same."""
+    rng = random.Random(11)
+    texts = {("a", f"chunk-{i:03d}"): phrase(rng, 200) for i in range(6)} | {("b", "chunk-000"): phrase(rng, 90)}
+    flat = {k: " ".join(t.split()) for k, t in texts.items()}
+    quotes = [("a", "chunk-000", t[20:80], n) for n, t in enumerate(flat.values())]
+    quotes += [("a", "chunk-001", flat["a", "chunk-001"][5:60] + "#", 50), ("c", "chunk-000", flat["a", "chunk-000"][:60], 51)]
+    chunks = spark.createDataFrame([(*k, t, int(k[1][-3:])) for k, t in texts.items()], "document_id string, chunk_id string, text string, order int")
+    keys = ev.evidence_keys(spark.createDataFrame(quotes, "document_id string, chunk_id string, evidence string, n int"))
+    asked = {(d, c, " ".join(q.split())) for d, c, q, _ in quotes}
+    want = sorted((d, c, q, any(q in t for (e, _), t in flat.items() if e == d)) for d, c, q in asked if q)
+    hashed = []
+    plain = ev.chunk_fingerprints
+
+    def counted(rows):
+        hashed.append(rows.count())
+        return plain(rows)
+
+    monkeypatch.setattr(ev, "chunk_fingerprints", counted)
+    for few, chunks_hashed in ((ev.FEW, 0), (0, 6)):
+        monkeypatch.setattr(ev, "FEW", few)
+        hashed.clear()
+        assert sorted(tuple(r) for r in ev.match_any_chunk(keys, chunks).select(*ev.KEY, "in_any").collect()) == want
+        assert hashed == [chunks_hashed]
