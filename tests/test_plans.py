@@ -91,3 +91,19 @@ def test_replies_need_their_setting(spark, sf_dir):
             rs.parse_types(responses)
     finally:
         spark.conf.set(name, "true")
+
+
+def test_queries_build_only_the_replies_they_read(spark, sf_dir, monkeypatch):
+    from corpusloom.plans import corpus
+
+    for name in ("parse_elements", "parse_suggestions", "extract_model_elements", "quality_failures"):
+        monkeypatch.setattr(corpus, "_stored", {})
+        entry.queries()[name](spark, sf_dir)
+        built = {key[2] for key in corpus._stored}
+        assert built and not built & {"questions", "scores", "responses", "replies-scoring", "replies-answer", "replies-type"}
+
+
+def test_exact_checks_read_stored_steps(spark, sf_dir):
+    for name in ("verify_exact", "finish_answers"):
+        text = plan(spark, sf_dir, name)
+        assert "parse_json" not in text and "xxhash64(substring" not in text
