@@ -1,5 +1,7 @@
 """What the physical plans may and may not hold."""
 
+import re
+
 import pytest
 
 import __spark_entry__ as entry
@@ -107,3 +109,16 @@ def test_exact_checks_read_stored_steps(spark, sf_dir):
     for name in ("verify_exact", "finish_answers"):
         text = plan(spark, sf_dir, name)
         assert "parse_json" not in text and "xxhash64(substring" not in text
+
+
+def test_prompts_with_different_labels_share_the_shuffle_of_texts(spark, sf_dir):
+    from corpusloom.plans import corpus, prompts
+
+    chunks = corpus.stored(spark, sf_dir, "chunks")
+    shuffled = set()
+    for style in ("id", "fields", "tags"):
+        text = prompts.labelled_text(chunks, style)._jdf.queryExecution().sparkPlan().toString()
+        partial = [line for line in text.splitlines() if "partial_collect_list" in line]
+        assert len(partial) == 1
+        shuffled.add(re.sub(r"#\d+L?", "", partial[0]))
+    assert len(shuffled) == 1
