@@ -122,3 +122,18 @@ def test_prompts_with_different_labels_share_the_shuffle_of_texts(spark, sf_dir)
         assert len(partial) == 1
         shuffled.add(re.sub(r"#\d+L?", "", partial[0]))
     assert len(shuffled) == 1
+
+
+def test_extraction_stores_items_and_not_whole_replies(spark, sf_dir):
+    from corpusloom.plans import analysis, corpus
+    from corpusloom.plans.catalog import replies as cat
+
+    kept = []
+    analysis.extract_model(
+        cat.responses(spark, sf_dir, "extraction"),
+        corpus.stored(spark, sf_dir, "chunks"),
+        cat._markdown(spark, sf_dir),
+        settle=lambda df: kept.append(df) or df,
+    )
+    assert "_items" in kept[0].columns and "_v" not in kept[0].columns
+    assert kept[0].where("content != ''").count() == 0
