@@ -105,6 +105,17 @@ def test_queries_build_only_the_replies_they_read(spark, sf_dir, monkeypatch):
         assert built and not built & {"questions", "scores", "responses", "replies-scoring", "replies-answer", "replies-type"}
 
 
+def test_replies_are_built_from_elements_without_their_flagged_copy(spark, sf_dir, monkeypatch):
+    from corpusloom.plans import corpus
+
+    flagged = corpus.flagged_elements(spark, sf_dir).drop("verified")
+    monkeypatch.setattr(corpus, "_stored", {})
+    entry.queries()["parse_suggestions"](spark, sf_dir)
+    assert {key[2] for key in corpus._stored} == {"elements", "replies-suggestion"}
+    plain = corpus.stored(spark, sf_dir, "elements").drop("verified")
+    assert flagged.exceptAll(plain).isEmpty() and plain.exceptAll(flagged).isEmpty()
+
+
 def test_exact_checks_read_stored_steps(spark, sf_dir):
     for name in ("verify_exact", "finish_answers"):
         text = plan(spark, sf_dir, name)
