@@ -58,6 +58,23 @@ def test_texts_around_one_passage_meet_by_what_else_they_share(spark):
     assert all(got[i] == i for i, _ in rows if i % 2 == 0)
 
 
+def test_a_rest_that_many_leaders_left_is_sketched_once(spark, monkeypatch):
+    """Texts of many lengths hold one passage: each fails several leaders, and all of them leave it the same rest."""
+    rng = random.Random(3)
+    new = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    passage = new(100)
+    rows = [(i, " ".join(passage + new(60 + i))) for i in range(0, 120, 2)]
+    rows.append((1, " ".join(edited(rng, rows[0][1].split(), 0.05, "replace"))))
+    seen, sketched = [], order_minhash._sketched_again
+    monkeypatch.setattr(order_minhash, "_sketched_again", lambda rests: seen.append(rests.select("key", "rest").collect()) or sketched(rests))
+    got = classes(spark, rows)
+    assert got[1] == got[0] == 0 and len(set(got.values())) == len(rows) - 1
+    assert seen[0]
+    for part in seen:
+        rests = [(r.key, frozenset(r.rest)) for r in part]
+        assert len(set(rests)) == len(rests)
+
+
 def test_rows_with_map_columns_pass(spark):
     text = " ".join(f"w{i}" for i in range(40))
     docs = spark.createDataFrame([(1, text), (2, text), (3, None)], DOCS).withColumn("tags", F.create_map(F.lit("a"), F.lit(1)))
