@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import numpy as np
 from corpusloom.llm import order_minhash
 from pyspark.sql import functions as F
 
@@ -75,6 +76,61 @@ def test_a_rest_that_many_leaders_left_is_sketched_once(spark, monkeypatch):
         assert len(set(rests)) == len(rests)
 
 
+def around_a_passage(rng, pairs):
+    """Texts of 310 common and 86 to 90 other words. Of some pairs the others have 22 single words in common, no run of five."""
+    new = lambda n: [f"p{rng.randrange(10**9)}" for _ in range(n)]
+    passage = new(310)
+    texts = [passage + new(86) for _ in range(30)]
+    for _ in range(pairs):
+        own, other = new(90), new(90)
+        kept = [w if i % 4 == 0 else o for i, (w, o) in enumerate(zip(own, other, strict=True))]
+        texts += [passage + own, passage + kept]
+    return texts
+
+
+def test_pairs_alike_only_by_what_their_leader_holds_too(spark, monkeypatch):
+    """Their words beyond the passage share no k-mer, so no sketch of a rest brings them together. Tiles of any size find them."""
+    texts = around_a_passage(random.Random(4), 8)
+    alike = [order_minhash.similar(*([w.encode() for w in texts[i]] for i in p)) for p in ((30, 31), (0, 30), (0, 1), (31, 32))]
+    assert alike == [True, False, False, False]
+    rows = [(i, " ".join(words)) for i, words in enumerate(texts)]
+    want = {i: i if i < 30 else i - i % 2 for i in range(len(rows))}
+    assert classes(spark, rows) == want
+    monkeypatch.setattr(order_minhash, "TILE_TEXTS", 10)
+    assert classes(spark, rows) == want
+
+
+def test_a_text_like_one_that_its_leaders_settled(spark):
+    """One text is like all leaders, another like that text only, and what the two share the leaders hold too."""
+    rng = random.Random(5)
+    new = lambda n: [f"q{rng.randrange(10**9)}" for _ in range(n)]
+    passage, first = new(310), new(90)
+    kept = lambda words, rest: [w if i % 4 == rest else n for i, (w, n) in enumerate(zip(words, new(90), strict=True))]
+    leaders = [passage + kept(first, 0)[: 86 + i % 4] for i in range(30)]
+    second = kept(first, 0)
+    third = kept(second, 2)
+    texts = [*leaders, passage + second, passage + third]
+    alike = lambda i, j: order_minhash.similar(*([w.encode() for w in texts[k]] for k in (i, j)))
+    assert all(alike(i, 30) and not alike(i, 31) for i in range(30)) and alike(30, 31)
+    assert set(classes(spark, [(i, " ".join(words)) for i, words in enumerate(texts)]).values()) == {0}
+
+
+def test_bound_of_a_tile_loses_no_pair():
+    rng = random.Random(6)
+    texts = [[f"r{rng.randrange(40)}" for _ in range(rng.randint(5, 40))] for _ in range(60)]
+    texts += [edited(rng, t, 0.15, kind) for t in texts for kind in ("replace", "delete", "insert")] + [["x"] * 300, ["x"] * 330]
+    texts = sorted((t for t in texts if t), key=len)
+    hashed, bounds = order_minhash.hash_words([[w.encode() for w in t] for t in texts])
+    bags = [hashed[i:j].astype("uint16").tobytes() for i, j in itertools.pairwise(bounds)]
+    n = np.array([len(t) for t in texts])
+    alike = {p for p in itertools.combinations(range(len(texts)), 2) if order_minhash.similar(*([w.encode() for w in texts[i]] for i in p))}
+    whole = {(i, int(j)) for i, at, _ in order_minhash.like_pairs(n, np.arange(len(n)), n * 0, bags, 0.8) for j in at}
+    assert alike and alike <= whole and len(whole) < len(n) ** 2 / 4
+    sides, roots = np.arange(len(n)) % 2, np.arange(len(n)) // 7
+    cut = {(i, int(j)) for i, at, _ in order_minhash.like_pairs(n, roots, sides, bags, 0.8) for j in at}
+    assert cut == {(i, j) for i, j in whole if sides[i] != sides[j] and roots[i] != roots[j]}
+
+
 def test_rows_with_map_columns_pass(spark):
     text = " ".join(f"w{i}" for i in range(40))
     docs = spark.createDataFrame([(1, text), (2, text), (3, None)], DOCS).withColumn("tags", F.create_map(F.lit("a"), F.lit(1)))
