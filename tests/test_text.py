@@ -177,3 +177,21 @@ def test_only_keys_and_ids_of_sections_meet(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     keyed = [line for line in plan.splitlines() if "Exchange hashpartitioning(document_id" in line and "key#" in line]
     assert keyed and "datasetA" not in plan and "entry#" not in plan
+
+
+def test_keys_of_sections_follow_the_set_of_runs():
+    """Order and repetition of runs do not count, and a text shorter than a run is one."""
+    words = [f"w{i}" for i in range(30)]
+    a, b, c = " ".join(words), " ".join(words + words), " ".join(words[15:] + words + words[:15])
+    n, keys = pf._band_keys([a, b, c, "x y", "x", "x y", "é  z"], 5, 19)
+    assert n.tolist() == [len(pf._runs(t, 5)) for t in (a, b, c, "x y", "x", "x y", "é  z")] == [26, 30, 30, 1, 1, 1, 1]
+    assert (keys[1] == keys[2]).all() and (keys[3] == keys[5]).all() and not (keys[3] == keys[4]).any()
+    alone = [pf._band_keys([t], 5, 19)[1][0] for t in (a, b, "x")]
+    assert all((x == keys[i]).all() for x, i in zip(alone, (0, 1, 4), strict=True))
+
+
+def test_sections_are_normalised_once_and_no_runs_are_rows(spark):
+    chunks = spark.createDataFrame([("a", "x y z", 0)], "document_id string, text string, order int")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(pf._bodies(chunks)).count("lower(") == 1
+    assert "array_distinct" not in plan(pf.near_duplicate_sections(chunks))
