@@ -148,3 +148,18 @@ def test_extraction_stores_items_and_not_whole_replies(spark, sf_dir):
     )
     assert "_items" in kept[0].columns and "_v" not in kept[0].columns
     assert kept[0].where("content != ''").count() == 0
+
+
+def test_extraction_and_labelled_texts_share_one_shuffle(spark, sf_dir):
+    """Texts are shuffled once by document, and not again for their contexts."""
+    from corpusloom.plans import corpus, prompts
+
+    chunks, types = corpus.stored(spark, sf_dir, "chunks"), corpus.document_types(spark, sf_dir)
+    elements = corpus.stored(spark, sf_dir, "flagged_elements")
+    out = prompts.extraction_prompts(chunks, types).unionByName(prompts.ambiguity_prompts(types, elements, chunks))
+    out.collect()
+    final = out._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
+    made = [line for line in final.splitlines() if "Exchange hashpartitioning" in line and "ReusedExchange" not in line]
+    assert not any("segment" in line for line in made)
+    assert sum("REPARTITION_BY_COL" in line for line in made) == 1
+    assert any("ReusedExchange" in line and "REPARTITION_BY_COL" in line for line in final.splitlines())
